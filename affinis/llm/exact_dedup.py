@@ -52,7 +52,8 @@ def frequent_digests(rows: DataFrame, tracked: int = TRACKED, mergers: int = MER
     parts = rows.groupBy((F.spark_partition_id() % mergers).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch")
     )
-    top = parts.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked // 4})").alias("top"))
+    # grouped by a constant: a partition without sketches then takes no part, which the sketch functions can't bear
+    top = parts.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {tracked // 4})").alias("top"))
     return top.select(F.explode("top").alias("item")).select(F.col("item.item").alias("digest"))
 
 
