@@ -1,12 +1,628 @@
-"""Every query of the library by name, with the SQL that checks it."""
+"""Every query of the library by name, with the SQL that checks it.
+
+The linkage queries share what they start from: profiles, ranked candidates and pair features
+of a scale factor are staged once in an application and read by each query.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from affinis import oracles as O
+from affinis.functions import address as A
+from affinis.functions import constants as C
+from affinis.functions import similarity as S
+from affinis.functions import text as T
+from affinis.operators import blocking as B
+from affinis.operators import entity_features as E
+from affinis.operators import features as FE
+from affinis.operators import graph as G
+from affinis.operators import metrics as M
+from affinis.operators import profile as P
+from affinis.operators import reports as RP
+from affinis.operators import retrieval as R
+from affinis.operators import sampling as N
+from affinis.operators import semantic as SE
+from affinis.operators import thresholds as TH
+from affinis.operators import validate as V
+from affinis.plans import linkage as L
+from affinis.plans import models as ML
+from affinis.sources import fixtures as X
+from affinis.sources import tables as TB
+from affinis.sources.staging import once, shared_dir, staged
+from affinis.streaming import linkage as ST
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# What several queries start from.
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("profiles", sf_dir), lambda: P.profile(X.records(spark, sf_dir, extra=True)))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return X.split(profiles(spark, sf_dir))
+
+
+def target_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("keys", sf_dir), lambda: B.keys(sides(spark, sf_dir)[1]))
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("ranked", sf_dir), lambda: R.retrieve(*sides(spark, sf_dir)))
+
+
+def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        queries, targets = sides(spark, sf_dir)
+        weighted = staged(FE.weighted(queries.unionByName(targets), targets))
+        return FE.pair_features(ranked(spark, sf_dir), *X.split(weighted))
+
+    return once(spark, ("features", sf_dir), build)
+
+
+def graph_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 records, and copies of some of them as S3 records."""
+
+    def build() -> DataFrame:
+        s2 = X.records(spark, sf_dir).filter("entity_id like 'S2-%'")
+        copies = s2.filter("entity_id like 'S2-%' and entity_id not like 'S2-D%' and cast(substr(entity_id, 4) as bigint) % 3 < 2")
+        copies = copies.withColumn("entity_id", F.concat(F.lit("S3-"), F.substr("entity_id", F.lit(4))))
+        return P.profile(s2.unionByName(copies))
+
+    return once(spark, ("graph_targets", sf_dir), build)
+
+
+GRAPH_RECORDS = """graph_records AS (
+    SELECT * FROM records WHERE entity_id LIKE 'S2-%'
+    UNION ALL SELECT 'S3-' || substr(entity_id, 4), business_name, business_address, country FROM records WHERE entity_id LIKE 'S2-%' AND entity_id NOT LIKE 'S2-D%' AND CAST(substr(entity_id, 4) AS BIGINT) % 3 < 2
+  )"""
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("edges", sf_dir), lambda: G.edges(graph_targets(spark, sf_dir)))
+
+
+#: Scored pairs and entities with scores by arithmetic, alike in both dialects: for each S1-k four S2 and two S3 candidates.
+SCORED_SQL = """
+  SELECT 'S1-' || CAST(k AS STRING) AS entity_id, src || CAST(k + d AS STRING) AS candidate_id, CAST(d + 1 AS INT) AS rank,
+    CASE WHEN d = 0 AND ((src = 'S2-' AND k % 5 IN (0, 1, 2)) OR (src = 'S3-' AND k % 4 IN (0, 1))) THEN 1 ELSE 0 END AS label,
+    round((CASE WHEN d = 0 AND ((src = 'S2-' AND k % 5 IN (0, 1, 2)) OR (src = 'S3-' AND k % 4 IN (0, 1))) THEN 0.35 ELSE 0.0 END) + 0.65 * (((k * 7919 + d * 104729 + CASE src WHEN 'S2-' THEN 31 ELSE 977 END) % 1009) / CAST(1009.0 AS DOUBLE)), 6) AS probability
+  FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer WHERE c_custkey % 11 <> 3) c CROSS JOIN (SELECT 0 AS d, 'S2-' AS src UNION ALL SELECT 1, 'S2-' UNION ALL SELECT 2, 'S2-' UNION ALL SELECT 3, 'S2-' UNION ALL SELECT 0, 'S3-' UNION ALL SELECT 1, 'S3-') o
+"""
+ENTITIES_SQL = "SELECT 'S1-' || CAST(c_custkey AS STRING) AS entity_id, CAST(c_custkey AS BIGINT) AS k FROM customer"
+ACTUAL_SQL = "SELECT entity_id, CAST(k % 5 IN (0, 1, 2) AS INT) + CAST(k % 4 IN (0, 1) AS INT) AS actual, k FROM entities"
+SCORED = f"scored AS ({SCORED_SQL}), entities AS ({ENTITIES_SQL}), actuals AS ({ACTUAL_SQL})"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    X.tables(spark, sf_dir, "customer")
+    return spark.sql(SCORED_SQL)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    X.tables(spark, sf_dir, "customer")
+    return spark.sql(ENTITIES_SQL)
+
+
+def scored_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = entities(spark, sf_dir)
+    s2 = rows.filter("k % 5 in (0, 1, 2)").select("entity_id", F.concat(F.lit("S2-"), F.col("k").cast("string")).alias("candidate_id"))
+    return s2.unionByName(rows.filter("k % 4 in (0, 1)").select("entity_id", F.concat(F.lit("S3-"), F.col("k").cast("string")).alias("candidate_id")))
+
+
+def actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("entity_id", ((F.col("k") % 5).isin(0, 1, 2).cast("int") + (F.col("k") % 4).isin(0, 1).cast("int")).alias("actual"))
+
+
+SCORED_TRUTH = """scored_truth AS (
+    SELECT entity_id, 'S2-' || CAST(k AS STRING) AS candidate_id FROM entities WHERE k % 5 IN (0, 1, 2) UNION ALL SELECT entity_id, 'S3-' || CAST(k AS STRING) FROM entities WHERE k % 4 IN (0, 1)
+  )"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").count()
+    """Matches of all queries by retrieval alone: the best candidates of each that agree on several channels."""
+    return L.rule_matches(ranked(spark, sf_dir))
+
+
+# Sources.
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, business_name, business_address, country, substr(entity_id, 1, 2) AS source FROM every_record")
+def load_sources(spark, sf_dir):
+    return X.records(spark, sf_dir, extra=True).withColumn("source", F.left("entity_id", F.lit(2)))
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, business_name, business_address, country FROM records WHERE {O.TARGET}")
+def union_targets(spark, sf_dir):
+    rows = X.records(spark, sf_dir)
+    return TB.union_targets(rows.filter("entity_id like 'S2-%'"), rows.filter("entity_id like 'S3-%'"))
+
+
+@query(f"WITH {O.TRUTH} SELECT DISTINCT entity_id, candidate_id FROM truth")
+def truth_explode(spark, sf_dir):
+    lists = X.truth(spark, sf_dir).groupBy(F.col("entity_id").alias("source1_entity_id")).agg(F.concat(F.array_join(F.sort_array(F.collect_list("candidate_id")), " , "), F.lit(",")).alias("matched_entity_ids"))
+    return TB.truth_pairs(lists)
+
+
+@query(f"WITH {O.RECORDS} SELECT r.entity_id, r.business_name, r.business_address, r.country FROM records r WHERE r.entity_id IN (SELECT 'S2-' || CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal > 0)")
+def lookup_projection(spark, sf_dir):
+    wanted = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("S2-"), F.col("c_custkey").cast("string")).alias("entity_id"))
+    return TB.lookup(X.records(spark, sf_dir)).join(wanted, "entity_id", "left_semi")
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, count(*) AS n FROM (SELECT * FROM records UNION ALL SELECT * FROM records WHERE entity_id LIKE 'S2-D%') GROUP BY entity_id HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    rows = X.records(spark, sf_dir)
+    return TB.duplicate_ids(rows.unionByName(rows.filter("entity_id like 'S2-D%'")))
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id AS source1_entity_id, business_name AS matched_entity_ids FROM extra WHERE entity_id <> 'X-08'")
+def tsv_round_trip(spark, sf_dir):
+    """Written as a tab-separated list file and read back."""
+    found = spark.createDataFrame(X.EXTRA, X_SCHEMA).filter("entity_id <> 'X-08'").withColumn("place", F.monotonically_increasing_id())
+    rows = found.select("place", F.col("entity_id").alias("source1_entity_id"), F.filter(F.split("business_name", ","), lambda x: x != "").alias("items"))
+    path = f"{shared_dir(spark)}/tsv-{spark.sparkContext.applicationId}"
+    TB.write_lists(rows, path, TB.MATCHES, "source1_entity_id", "items", "place")
+    return TB.read_lists(spark, path).select(F.col("id").alias("source1_entity_id"), F.array_join("items", ",").alias("matched_entity_ids"))
+
+
+X_SCHEMA = "entity_id string, business_name string, business_address string, country string"
+
+
+# Normalisation.
+
+
+@query(f"SELECT doc_id, {O.norm('text')} AS normal FROM documents")
+def normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("normal"))
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, {O._case(O.norm('country'), C.COUNTRY_ALIASES, O.norm('country'))} AS country FROM every_record")
+def normalize_country(spark, sf_dir):
+    return X.records(spark, sf_dir, extra=True).select("entity_id", T.normalise_country(F.col("country")).alias("country"))
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, array_to_string({O.words(O.norm('business_name'))}, '|') AS tokens, len({O.words(O.norm('business_name'))}) AS n FROM every_record")
+def name_tokens(spark, sf_dir):
+    words = T.tokens(F.col("business_name"))
+    return X.records(spark, sf_dir, extra=True).select("entity_id", F.array_join(words, "|").alias("tokens"), F.size(words).cast("long").alias("n"))
+
+
+@query(f"{O.base(True)} SELECT entity_id, array_to_string(variants, '|') AS variants FROM profiles")
+def name_variants(spark, sf_dir):
+    return X.records(spark, sf_dir, extra=True).select("entity_id", F.array_join(T.name_variants(F.col("business_name")), "|").alias("variants"))
+
+
+@query(f"WITH {O.RECORDS} SELECT entity_id, {O.strip(O.norm('business_name'))} AS core FROM every_record")
+def strip_legal_suffix(spark, sf_dir):
+    return X.records(spark, sf_dir, extra=True).select("entity_id", T.strip_suffixes(T.normalise(F.col("business_name"))).alias("core"))
+
+
+@query(f"{O.base(True)} SELECT name_core AS core, count(*) AS n FROM profiles GROUP BY name_core")
+def core_names(spark, sf_dir):
+    return profiles(spark, sf_dir).groupBy(F.col("name_core").alias("core")).agg(F.count("*").alias("n"))
+
+
+@query(f"{O.base(True)} SELECT entity_id, array_to_string(list_transform(name_words, lambda w: {O.SOUNDEX}), '|') AS codes FROM profiles")
+def soundex_names(spark, sf_dir):
+    return profiles(spark, sf_dir).select("entity_id", F.array_join(F.transform("name_words", B._soundex), "|").alias("codes"))
+
+
+@query(f"{O.base(True)}, {O.keys()} SELECT entity_id, string_agg(DISTINCT value, '|' ORDER BY value) AS grams FROM keys WHERE channel = 'name_char_ngram' AND scope = '*' GROUP BY entity_id")
+def sampled_ngrams(spark, sf_dir):
+    grams = T.name_ngrams(F.col("variants"), 6)
+    return profiles(spark, sf_dir).filter(F.size(grams) > 0).select("entity_id", F.array_join(F.sort_array(grams), "|").alias("grams"))
+
+
+def _profile_query(name: str, column: str, array: bool = True):
+    """A parsed field of every record."""
+
+    def run(spark, sf_dir):
+        value = F.array_join(F.sort_array(column) if column == "landmarks" else F.col(column), "|") if array else F.col(column)
+        rows = P.profile(X.records(spark, sf_dir, extra=True)) if column == "layout" else profiles(spark, sf_dir)
+        return rows.select("entity_id", value.alias(column))
+
+    run.__name__ = name
+    source = "profiles LEFT JOIN landmark_words USING (entity_id)" if column == "landmarks" else "profiles"
+    value = f"coalesce(array_to_string({column}, '|'), '')" if array else column
+    query(f"{O.base(True)} SELECT entity_id, {value} AS {column} FROM {source}")(run)
+
+
+for _name, _column in {
+    "address_tokens": "address_words", "address_city": "city_words", "address_state": "state_words", "address_numbers": "numbers", "postal_codes": "postals",
+    "unit_numbers": "units", "landmarks": "landmarks", "phone_fragments": "phones",
+}.items():
+    _profile_query(_name, _column)
+_profile_query("layout_signature", "layout", array=False)
+_profile_query("house_number", "house_number", array=False)
+
+
+@query(f"{O.base(True)} SELECT entity_id, array_to_string(list_transform(parts, lambda p: array_to_string(p, ' ')), '|') AS parts FROM p4")
+def address_components(spark, sf_dir):
+    rows = X.records(spark, sf_dir, extra=True).withColumn("c", T.normalise_country(F.col("country")))
+    return rows.select("entity_id", F.array_join(F.transform(A.components(F.col("business_address"), F.col("c")), lambda p: F.array_join(p, " ")), "|").alias("parts"))
+
+
+# Frequencies.
+
+
+@query(f"{O.base()} SELECT word, count(*) AS df FROM (SELECT DISTINCT entity_id, unnest(flatten(list_transform(variants, lambda v: string_split(v, ' ')))) AS word FROM profiles WHERE {O.TARGET}) GROUP BY word")
+def name_document_frequency(spark, sf_dir):
+    return B.name_frequencies(sides(spark, sf_dir)[1])
+
+
+@query(f"{O.base()} SELECT word, count(*) AS df FROM (SELECT DISTINCT entity_id, unnest(address_words) AS word FROM profiles WHERE {O.TARGET}) GROUP BY word")
+def address_document_frequency(spark, sf_dir):
+    return B.address_frequencies(sides(spark, sf_dir)[1])
+
+
+@query(f"{O.base()}, {O.keys()} SELECT channel, scope, value, count(*) AS df FROM keys WHERE {O.TARGET} GROUP BY ALL")
+def key_frequency(spark, sf_dir):
+    return B.key_frequencies(target_keys(spark, sf_dir))
+
+
+@query(f"{O.base()}, {O.keys()}, {O.retrieval(max_frequency=20)} SELECT channel, count(*) AS postings, count(DISTINCT scope || '|' || value) AS keys FROM postings GROUP BY channel")
+def stop_key_filter(spark, sf_dir):
+    keys = target_keys(spark, sf_dir)
+    posted = B.postings(keys, B.key_frequencies(keys), B.Blocking(max_frequency=20))
+    return posted.groupBy("channel").agg(F.count("*").alias("postings"), F.count_distinct("scope", "value").alias("keys"))
+
+
+@query(f"{O.base()} SELECT country, layout, count(*) AS n FROM profiles WHERE {O.TARGET} AND country <> '' GROUP BY ALL")
+def layout_profile(spark, sf_dir):
+    return B.layout_counts(sides(spark, sf_dir)[1])
+
+
+@query(f"{O.base()} SELECT country, len(code) AS digits, count(*) AS n FROM (SELECT country, unnest(postals) AS code FROM profiles WHERE {O.TARGET} AND country <> '') GROUP BY ALL")
+def postal_profile(spark, sf_dir):
+    found = B.postal_length_counts(sides(spark, sf_dir)[1])
+    return found.withColumn("digits", F.col("digits").cast("long"))
+
+
+# Retrieval.
+
+
+@query(f"{O.base()}, {O.keys()} SELECT entity_id, channel, scope, value FROM keys WHERE {O.TARGET}")
+def block_postings(spark, sf_dir):
+    return target_keys(spark, sf_dir)
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    def build() -> DataFrame:
+        queries, targets = sides(spark, sf_dir)
+        keys = target_keys(spark, sf_dir)
+        posted = B.postings(keys, B.key_frequencies(keys)).join(F.broadcast(targets.agg(F.count("*").alias("documents"))))
+        plain = B.keys(queries).filter("channel <> 'name_phonetic'")
+        return R.channel_scores(plain, posted, F.col("documents"), B.DEFAULT)
+
+    return once(spark, ("scores", sf_dir), build)
+
+
+@query(f"{O.ranked()} SELECT query_id, channel, candidate_id, round(round(raw, 9), 4) AS score FROM plain")
+def candidate_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).withColumn("score", F.round("score", 4))
+
+
+@query(f"{O.ranked()} SELECT query_id, candidate_id, round(context, 6) AS context FROM contexts")
+def context_score(spark, sf_dir):
+    queries, targets = sides(spark, sf_dir)
+    found = R.with_context(_scores(spark, sf_dir), queries, targets)
+    return found.withColumn("context", F.round("context", 6))
+
+
+@query(f"{O.ranked()} SELECT channel, count(*) AS pairs, sum(place) AS places, round(sum(score), 3) AS total FROM selected GROUP BY channel")
+def channel_topk(spark, sf_dir):
+    queries, targets = sides(spark, sf_dir)
+    scores = _scores(spark, sf_dir)
+    top = R.channel_top(scores, R.with_context(scores, queries, targets), B.DEFAULT)
+    return top.groupBy("channel").agg(F.count("*").alias("pairs"), F.sum("place").alias("places"), F.round(F.sum("score"), 3).alias("total"))
+
+
+@query(f"{O.ranked()} SELECT query_id, candidate_id, rank, round(score, 4) AS score, array_to_string(channels, '|') AS channels FROM ranked")
+def candidate_rank(spark, sf_dir):
+    return ranked(spark, sf_dir).select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"), F.array_join("channels", "|").alias("channels"))
+
+
+@query(f"{O.ranked(mode='per_channel', most=10)} SELECT query_id, candidate_id, rank, round(score, 4) AS score FROM ranked")
+def candidate_rank_per_channel(spark, sf_dir):
+    queries, targets = sides(spark, sf_dir)
+    found = R.retrieve(queries, targets, B.Blocking(context="per_channel"), max_candidates=10)
+    return found.select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(f"{O.ranked()} SELECT entity_id AS source1_entity_id, coalesce(c, '') AS candidate_entity_ids FROM profiles p LEFT JOIN (SELECT query_id, string_agg(candidate_id, ',' ORDER BY rank) AS c FROM ranked GROUP BY query_id) r ON r.query_id = p.entity_id WHERE {O.QUERY}")
+def candidate_pairs_output(spark, sf_dir):
+    found = R.candidate_lists(sides(spark, sf_dir)[0], ranked(spark, sf_dir))
+    return found.select(F.col("query_id").alias("source1_entity_id"), F.array_join("candidates", ",").alias("candidate_entity_ids"))
+
+
+@query(f"{O.ranked(max_frequency=1)} SELECT query_id, candidate_id, rank, array_to_string(channels, '|') AS channels FROM ranked")
+def phonetic_fallback_gate(spark, sf_dir):
+    """With a low ceiling many queries have few candidates, and the phonetic channel steps in."""
+    queries, targets = sides(spark, sf_dir)
+    found = R.retrieve(queries, targets, B.Blocking(max_frequency=1))
+    return found.select("query_id", "candidate_id", F.col("rank").cast("long").alias("rank"), F.array_join("channels", "|").alias("channels"))
+
+
+@query(
+    f"""{O.base()}, words AS (SELECT entity_id, ' ' || unnest(flatten(list_transform(variants, lambda v: string_split(v, ' ')))) || ' ' AS w FROM profiles),
+    grams AS (SELECT entity_id, substr(w, i, n) AS gram, count(*) AS tf FROM (SELECT entity_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, (VALUES (2), (3), (4), (5)) s(n) WHERE len(w) >= n) GROUP BY ALL),
+    docs AS (SELECT count(*) AS documents FROM profiles WHERE {O.TARGET}),
+    vocab AS (SELECT gram, ln((1.0 + any_value(documents)) / (1.0 + count(*))) + 1.0 AS idf FROM grams, docs WHERE {O.TARGET} GROUP BY gram),
+    raw AS (SELECT entity_id, gram, (1.0 + ln(tf)) * idf AS w FROM grams JOIN vocab USING (gram)), norms AS (SELECT entity_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY entity_id),
+    unit AS (SELECT entity_id, gram, w / norm AS w FROM raw JOIN norms USING (entity_id)),
+    similar_names AS (SELECT q.entity_id AS query_id, t.entity_id AS candidate_id, round(sum(q.w * t.w), 9) AS similarity FROM unit q JOIN unit t USING (gram) WHERE q.{O.QUERY} AND (t.entity_id LIKE 'S2-%' OR t.entity_id LIKE 'S3-%') GROUP BY ALL)
+    SELECT query_id, count(*) AS neighbours, round(sum(similarity), 4) AS total, round(max(similarity), 4) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate_id) AS place FROM similar_names) WHERE place <= 50 AND similarity >= 0.12 GROUP BY query_id"""
+)
+def char_tfidf_neighbors(spark, sf_dir):
+    found = SE.neighbours(*sides(spark, sf_dir))
+    return found.groupBy("query_id").agg(F.count("*").alias("neighbours"), F.round(F.sum("similarity"), 4).alias("total"), F.round(F.max("similarity"), 4).alias("best"))
+
+
+# Pair features.
+
+
+def _features(spark, sf_dir, *names: str) -> DataFrame:
+    return pair_features(spark, sf_dir).select("query_id", "candidate_id", *[F.round(n, 6).alias(n) for n in names])
+
+
+def _gram_list(x: str) -> str:
+    return f"list_distinct(list_transform(range(1, greatest(1, len(replace({x}, ' ', '')) - 2) + 1), lambda i: substr(replace({x}, ' ', ''), i, 3)))"
+
+
+PAIRS = f"""{O.ranked()}, pairs AS MATERIALIZED (SELECT r.query_id, r.candidate_id, r.rank, r.channels, q AS a, t AS b FROM ranked r JOIN profiles q ON q.entity_id = r.query_id JOIN profiles t ON t.entity_id = r.candidate_id)"""
+
+
+def _pair_query(name: str, columns: dict[str, str], ctes: str = "", source: str = "pairs"):
+    """Features of all ranked pairs; the SQL states each over profiles a and b."""
+
+    def run(spark, sf_dir):
+        return _features(spark, sf_dir, *columns)
+
+    run.__name__ = name
+    listed = ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in columns.items())
+    query(f"{PAIRS}{ctes} SELECT query_id, candidate_id, {listed} FROM {source}")(run)
+
+
+def _contain(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_distinct(list_intersect({a}, {b}))) / least(len(list_distinct({a})), len(list_distinct({b}))) ELSE 0.0 END"
+
+
+_BASE = "(a.house_base <> '' AND a.house_base = b.house_base)"
+_HOUSES = "(a.house_number <> '' AND b.house_number <> '')"
+_POSTAL = O.overlap("a.postals", "b.postals")
+_DIFFERS = "(a.country <> '' AND b.country <> '' AND a.country <> b.country)"
+_SUFFIX = f"({_BASE} AND a.house_suffix <> '' AND b.house_suffix <> '' AND a.house_suffix <> b.house_suffix)"
+
+
+def _both(x: str) -> str:
+    return f"(len(a.{x}) > 0 AND len(b.{x}) > 0)"
+
+
+_SAME_STATE = f"({_both('state_words')} AND list_sort(a.state_words) = list_sort(b.state_words))"
+_NJ, _AJ, _CJ = (O.jaccard(f"a.{c}", f"b.{c}") for c in ("name_words", "address_words", "city_words"))
+_pair_query(
+    "pair_set_features",
+    {
+        "name_exact": "a.name_raw <> '' AND a.name_raw = b.name_raw", "name_core_exact": "a.name_core <> '' AND a.name_core = b.name_core", "address_exact": "a.address_raw <> '' AND a.address_raw = b.address_raw",
+        "name_token_jaccard": _NJ, "name_token_containment": _contain("a.name_words", "b.name_words"), "address_token_jaccard": _AJ, "address_token_containment": _contain("a.address_words", "b.address_words"),
+        "common_name_tokens": O.common("a.name_words", "b.name_words"), "common_address_tokens": O.common("a.address_words", "b.address_words"), "number_token_jaccard": O.jaccard("a.numbers", "b.numbers"),
+        "city_token_jaccard": _CJ, "city_exact": f"{_both('city_words')} AND list_sort(list_distinct(a.city_words)) = list_sort(list_distinct(b.city_words))",
+        "tail_component_similarity": O.jaccard("a.city_words[greatest(len(a.city_words) - 3, 1):]", "b.city_words[greatest(len(b.city_words) - 3, 1):]"),
+        "name_length_ratio": "CASE WHEN len(a.name_core) > 0 AND len(b.name_core) > 0 THEN least(len(a.name_core), len(b.name_core)) / greatest(len(a.name_core), len(b.name_core)) ELSE 0 END",
+        "address_length_ratio": "CASE WHEN len(a.address_words) > 0 AND len(b.address_words) > 0 THEN least(len(a.address_words), len(b.address_words)) / greatest(len(a.address_words), len(b.address_words)) ELSE 0 END",
+        "has_name_both": _both("name_words"), "has_address_both": _both("address_words"),
+    },
+)
+_pair_query(
+    "pair_conflicts",
+    {
+        "house_number_match": f"{_HOUSES} AND a.house_number = b.house_number", "house_number_base_match": _BASE, "house_number_suffix_conflict": _SUFFIX, "house_number_conflict": f"{_HOUSES} AND NOT {_BASE}",
+        "unit_number_match": O.overlap("a.units", "b.units"), "unit_number_conflict": f"{_both('units')} AND NOT {O.overlap('a.units', 'b.units')}",
+        "postal_code_match": _POSTAL, "postal_code_conflict": f"{_both('postals')} AND NOT {_POSTAL}", "state_match": _SAME_STATE, "state_conflict": f"{_both('state_words')} AND NOT {_SAME_STATE}",
+        "same_country": "a.country <> '' AND a.country = b.country", "country_conflict": _DIFFERS, "phone_fragment_match": O.overlap("a.phones", "b.phones"),
+        "address_layout_pattern_match": "a.country <> '' AND a.country = b.country AND a.layout = b.layout",
+        "contradiction_score": f"5.0 * CAST({_DIFFERS} AS INT) + 4.0 * CAST({_both('postals')} AND NOT {_POSTAL} AS INT) + 2.0 * CAST({_HOUSES} AND NOT {_BASE} AS INT) + 1.5 * CAST({_SUFFIX} AS INT) + 2.0 * CAST({_both('state_words')} AND NOT {_SAME_STATE} AS INT)",
+    },
+)
+_pair_query(
+    "pair_context",
+    {
+        "candidate_retrieval_rank_reciprocal": "1.0 / rank", "candidate_retrieval_channel_count": "len(channels)", "candidate_block_name_phonetic": "list_contains(channels, 'name_phonetic')",
+        "candidate_retrieval_score": f"9.0 * CAST({_POSTAL} AS INT) + 4.0 * CAST({_BASE} AS INT) + 3.0 * ({_AJ}) + 2.0 * ({_CJ}) + ({_NJ}) - 4.0 * CAST({_DIFFERS} AS INT)",
+        "name_address_consistency": f"({_NJ}) * ({_AJ})", "city_name_consistency": f"({_NJ}) * ({_CJ})", "name_postal_consistency": f"({_NJ}) * CAST({_POSTAL} AS INT)",
+        "candidate_source_s2": "candidate_id LIKE 'S2-%'", "candidate_source_s3": "candidate_id LIKE 'S3-%'",
+    },
+)
+_pair_query(
+    "pair_ngram",
+    {
+        f"{kind}_char_ngram_{how}": (O.jaccard(_gram_list(f"a.{c}"), _gram_list(f"b.{c}")) if how == "jaccard" else f"{O.common(_gram_list(f'a.{c}'), _gram_list(f'b.{c}'))} / sqrt(len({_gram_list(f'a.{c}')}) * len({_gram_list(f'b.{c}')}))")
+        for kind, c in (("name", "name_core"), ("address", "address_raw")) for how in ("jaccard", "cosine")
+    },
+)
+_pair_query("pair_jaro_winkler", {"name_jaro_winkler": "jaro_winkler_similarity(a.name_core, b.name_core)"})
+
+
+def _weights(words: str, prefix: str) -> str:
+    """CTEs of idf and tf-idf weights of a profile's words."""
+    return f""", {prefix}df AS MATERIALIZED (SELECT word, count(*) AS df FROM (SELECT DISTINCT entity_id, unnest({words}) AS word FROM profiles WHERE {O.TARGET}) GROUP BY word),
+    {prefix}w AS MATERIALIZED (SELECT e.entity_id, e.word, ln((1.0 + d.documents) / (1.0 + coalesce(f.df, 0))) + 1.0 AS idf, 1.0 + ln(e.tf) AS tf
+      FROM (SELECT entity_id, word, count(*) AS tf FROM (SELECT entity_id, unnest({words}) AS word FROM profiles) GROUP BY ALL) e LEFT JOIN {prefix}df f USING (word), documents d),
+    {prefix}n AS MATERIALIZED (SELECT entity_id, sqrt(sum(tf * idf * tf * idf)) AS norm, sum(idf) AS total FROM {prefix}w GROUP BY entity_id),
+    {prefix}dot AS MATERIALIZED (SELECT r.query_id, r.candidate_id, sum(q.tf * q.idf * t.tf * t.idf) AS dot, sum(q.idf) AS both_idf FROM ranked r JOIN {prefix}w q ON q.entity_id = r.query_id JOIN {prefix}w t ON t.entity_id = r.candidate_id AND t.word = q.word GROUP BY ALL)"""
+
+
+def _weight_query(name: str, kind: str, words: str):
+    def run(spark, sf_dir):
+        return _features(spark, sf_dir, f"{kind}_tfidf_cosine", f"{kind}_rare_token_overlap")
+
+    run.__name__ = name
+    query(f"""{O.ranked()}{_weights(words, "x")} SELECT r.query_id, r.candidate_id, round(coalesce(dot / (q.norm * t.norm), 0.0), 6) AS {kind}_tfidf_cosine,
+      round(coalesce(both_idf / (q.total + t.total - both_idf), 0.0), 6) AS {kind}_rare_token_overlap
+      FROM ranked r LEFT JOIN xdot USING (query_id, candidate_id) LEFT JOIN xn q ON q.entity_id = r.query_id LEFT JOIN xn t ON t.entity_id = r.candidate_id""")(run)
+
+
+_weight_query("pair_name_weights", "name", "name_words")
+_weight_query("pair_address_weights", "address", "address_words")
+
+
+@query(
+    f"""{PAIRS}, lc AS (SELECT country, layout, count(*) AS n FROM profiles WHERE {O.TARGET} AND country <> '' GROUP BY ALL), lt AS (SELECT country, sum(n) AS total, count(*) AS kinds FROM lc GROUP BY country),
+    share AS (SELECT p.entity_id, CASE WHEN p.country <> '' THEN CASE WHEN coalesce(lt.total, 0) > 0 THEN (coalesce(lc.n, 0) + 1) / (lt.total + lt.kinds + CASE WHEN lc.n IS NULL THEN 1 ELSE 0 END) ELSE 0.0 END END AS s
+      FROM profiles p LEFT JOIN lc ON lc.country = p.country AND lc.layout = p.layout LEFT JOIN lt ON lt.country = p.country)
+    SELECT query_id, candidate_id, round(coalesce(list_avg(list_filter([x.s, y.s], lambda v: v IS NOT NULL)), 0.0), 6) AS address_layout_country_plausibility FROM pairs JOIN share x ON x.entity_id = query_id JOIN share y ON y.entity_id = candidate_id"""
+)
+def pair_layout_plausibility(spark, sf_dir):
+    return _features(spark, sf_dir, "address_layout_country_plausibility")
+
+
+@query()
+def pair_all_features(spark, sf_dir):
+    return pair_features(spark, sf_dir)
+
+
+@query()
+def pair_edit_ratio(spark, sf_dir):
+    return _features(spark, sf_dir, "name_char_similarity", "name_sorted_token_similarity", "name_token_order_similarity", "name_variant_similarity", "name_prefix_similarity", "name_suffix_similarity", "address_char_similarity")
+
+
+# The link graph of the targets.
+
+EDGES = f"""WITH {O.RECORDS}, {GRAPH_RECORDS}, {O.profiles("graph_records")},
+  signed AS MATERIALIZED (
+    SELECT entity_id, country, name_core, 'address' AS kind, array_to_string(address_words, ' ') AS value FROM profiles WHERE len(address_words) > 0
+    UNION ALL SELECT entity_id, country, name_core, 'postal', unnest(postals) FROM profiles
+    UNION ALL SELECT entity_id, country, name_core, 'house', house_number FROM profiles WHERE house_number <> ''
+    UNION ALL SELECT entity_id, country, name_core, 'house_base', house_base FROM profiles WHERE house_base <> ''
+  ), named AS (SELECT country, name_core FROM profiles WHERE name_core <> '' GROUP BY ALL HAVING count(*) FILTER (entity_id LIKE 'S2-%') * count(*) FILTER (entity_id LIKE 'S3-%') BETWEEN 1 AND {G.NAME_PAIRS}),
+  kept AS (SELECT country, name_core, kind, value FROM signed JOIN named USING (country, name_core) GROUP BY ALL HAVING count(*) FILTER (entity_id LIKE 'S2-%') * count(*) FILTER (entity_id LIKE 'S3-%') BETWEEN 1 AND {G.SIGNATURE_PAIRS}),
+  proposed AS (SELECT DISTINCT x.entity_id AS s2_id, y.entity_id AS s3_id FROM signed x JOIN kept USING (country, name_core, kind, value) JOIN signed y USING (country, name_core, kind, value) WHERE x.entity_id LIKE 'S2-%' AND y.entity_id LIKE 'S3-%'),
+  tested AS (SELECT s2_id, s3_id, a, b, {_AJ} AS aj FROM (SELECT s2_id, s3_id, p AS a, q AS b FROM proposed JOIN profiles p ON p.entity_id = s2_id JOIN profiles q ON q.entity_id = s3_id)),
+  edges AS MATERIALIZED (
+    SELECT s2_id, s3_id, 1.0 AS name_similarity, round(aj, 9) AS address_similarity, round(0.5 + 0.5 * aj, 9) AS score FROM tested
+    WHERE ((a.address_raw <> '' AND a.address_raw = b.address_raw) OR ({_POSTAL} AND aj >= 0.5) OR ({_BASE} AND aj >= 0.35))
+      AND NOT (({_both('postals')} AND NOT {_POSTAL}) OR ({_HOUSES} AND NOT {_BASE}) OR {_SUFFIX} OR {_DIFFERS})
+  )"""
+
+
+@query(f"{EDGES} SELECT s2_id, s3_id, round(address_similarity, 6) AS address_similarity, round(score, 6) AS score FROM edges")
+def cross_source_edges(spark, sf_dir):
+    return edges(spark, sf_dir).select("s2_id", "s3_id", F.round("address_similarity", 6).alias("address_similarity"), F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""{EDGES} SELECT node, CAST(count(*) + 1 AS DOUBLE) AS cluster_size, CAST(count(*) AS DOUBLE) AS support_count, round(max(score), 6) AS max_edge_score, round(min(score), 6) AS min_edge_score, round(avg(score), 6) AS avg_edge_score
+    FROM (SELECT s2_id AS node, score FROM edges UNION ALL SELECT s3_id, score FROM edges) GROUP BY node"""
+)
+def graph_node_summary(spark, sf_dir):
+    found = G.node_summaries(edges(spark, sf_dir))
+    return found.select("node", "cluster_size", "support_count", *[F.round(c, 6).alias(c) for c in ("max_edge_score", "min_edge_score", "avg_edge_score")])
+
+
+CANDIDATES_SQL = "SELECT 'S1-' || CAST(k AS STRING) AS query_id, src || CAST(k + d AS STRING) AS candidate_id FROM (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer) c CROSS JOIN (SELECT 0 AS d, 'S2-' AS src UNION ALL SELECT 0, 'S3-' UNION ALL SELECT 1, 'S3-') o"
+
+
+@query(
+    f"""{EDGES}, candidates AS ({CANDIDATES_SQL}), both_ways AS (SELECT s2_id AS node, s3_id AS peer FROM edges UNION ALL SELECT s3_id, s2_id FROM edges)
+    SELECT c.query_id, c.candidate_id, CAST(count(*) AS DOUBLE) AS peers FROM candidates c JOIN both_ways g ON g.node = c.candidate_id JOIN candidates o ON o.query_id = c.query_id AND o.candidate_id = g.peer GROUP BY ALL"""
+)
+def graph_candidate_support(spark, sf_dir):
+    X.tables(spark, sf_dir, "customer")
+    return G.candidate_support(spark.sql(CANDIDATES_SQL), edges(spark, sf_dir))
+
+
+# Samples and negatives.
+
+
+_HARD = "1.5 * name_char_similarity + 1.1 * name_token_jaccard + 0.8 * name_tfidf_cosine + 0.8 * address_token_jaccard + 0.5 * address_tfidf_cosine + 0.5 * city_token_jaccard + 0.4 * postal_code_match + 0.3 * same_country"
+#: Feature values by arithmetic, alike in both dialects.
+FEATURED_SQL = "SELECT l_orderkey AS pair, " + ", ".join(
+    f"CAST(((l_orderkey * {7 + 12 * i} + l_linenumber * {3 + 10 * i}) % {m}) AS DOUBLE) / {m - 1}.0 AS {c}"
+    for i, (c, m) in enumerate({
+        "name_char_similarity": 11, "name_token_jaccard": 7, "name_tfidf_cosine": 9, "address_token_jaccard": 6, "address_tfidf_cosine": 8, "city_token_jaccard": 5, "postal_code_match": 2, "same_country": 2, "name_core_exact": 2,
+        "address_exact": 2, "postal_code_conflict": 2, "house_number_conflict": 2, "country_conflict": 2, "name_exact": 2, "cross_source_support_count": 3, "name_variant_similarity": 10, "has_address_both": 2, "has_name_both": 2,
+        "address_char_similarity": 12, "address_layout_country_plausibility": 13, "common_name_tokens": 4,
+    }.items())
+) + ", l_linenumber AS line FROM lineitem"
+FEATURED = f"featured AS ({FEATURED_SQL})"
+_CATEGORY = """CASE WHEN name_core_exact = 1 AND address_token_jaccard < 0.5 THEN 'same_name_wrong_address' WHEN (address_exact = 1 OR address_token_jaccard >= 0.8) AND name_token_jaccard < 0.5 THEN 'same_address_wrong_name'
+      WHEN city_token_jaccard > 0 THEN 'same_city' WHEN same_country = 1 THEN 'same_country' ELSE 'other' END"""
+
+
+def featured(spark, sf_dir) -> DataFrame:
+    X.tables(spark, sf_dir, "lineitem")
+    return spark.sql(FEATURED_SQL)
+
+
+@query(f"WITH {FEATURED} SELECT pair, line, round({_HARD}, 6) AS hardness FROM featured")
+def negative_hardness(spark, sf_dir):
+    return featured(spark, sf_dir).select("pair", "line", F.round(N.hardness(), 6).alias("hardness"))
+
+
+@query(f"WITH {FEATURED} SELECT pair, line, {_CATEGORY} AS category FROM featured")
+def negative_category(spark, sf_dir):
+    return featured(spark, sf_dir).select("pair", "line", N.category().alias("category"))
+
+
+@query(
+    """WITH t AS (SELECT range AS total FROM range(0, 201)), b AS (SELECT total, total * 4 // 10 AS h, total * 3 // 10 AS m, total * 2 // 10 AS s, total // 10 AS r, total - total * 4 // 10 - total * 3 // 10 - total * 2 // 10 - total // 10 AS rest FROM t),
+    pools AS (SELECT total, rest, unnest([{'k': 'h', 'f': total * 4 % 10, 'o': 4}, {'k': 'm', 'f': total * 3 % 10, 'o': 2}, {'k': 's', 'f': total * 2 % 10, 'o': 3}, {'k': 'r', 'f': total % 10, 'o': 1}]) AS p FROM b),
+    given AS (SELECT total, p.k AS k, CAST(row_number() OVER (PARTITION BY total ORDER BY p.f DESC, p.o) <= rest AS INT) AS g FROM pools),
+    c AS (SELECT b.total, h + max(g) FILTER (k = 'h') AS h, m + max(g) FILTER (k = 'm') AS m, s + max(g) FILTER (k = 's') AS s, r + max(g) FILTER (k = 'r') AS r FROM b JOIN given USING (total) GROUP BY b.total, h, m, s, r),
+    l AS (SELECT *, total >= 4 AND r = 0 AS lacks FROM c)
+    SELECT total, h - CAST(lacks AND h > 1 AS INT) AS hard, m - CAST(lacks AND h <= 1 AND m > 1 AS INT) AS medium, s - CAST(lacks AND h <= 1 AND m <= 1 AND s > 1 AS INT) AS structural, r + CAST(lacks AND (h > 1 OR m > 1 OR s > 1) AS INT) AS random FROM l"""
+)
+def mixed_pool_counts(spark, sf_dir):
+    return N.pool_table(spark, 200)
+
+
+@query(
+    f"""WITH {SCORED}, linked AS (SELECT entity_id, actual > 0 AS linked FROM actuals)
+    SELECT entity_id, linked, CAST((row_number() OVER (PARTITION BY linked ORDER BY md5('42|' || entity_id), entity_id) - 1) % 5 AS INT) AS fold FROM linked"""
+)
+def fold_assignment(spark, sf_dir):
+    return N.folds(entities(spark, sf_dir), scored_truth(spark, sf_dir), 5)
+
+
+@query(
+    f"""{O.base()}, {O.TRUTH}, named AS (SELECT entity_id, name_core AS core FROM profiles WHERE {O.QUERY}), r AS (SELECT core, count(*) > 1 AS repeated FROM named GROUP BY core),
+    rows_ AS (SELECT n.entity_id, repeated, n.entity_id IN (SELECT entity_id FROM truth) AS linked FROM named n JOIN r USING (core)),
+    strata AS (SELECT linked, repeated, count(*) AS n FROM rows_ GROUP BY ALL), s AS (SELECT *, n * 40 / (sum(n) OVER ()) AS share FROM strata),
+    q AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, linked, repeated) AS place, 40 - sum(floor(share)) OVER () AS left_ FROM s),
+    quota AS (SELECT linked, repeated, least(n, greatest(1, floor(share) + CASE WHEN place <= left_ THEN 1 ELSE 0 END)) AS quota FROM q)
+    SELECT entity_id, linked, repeated FROM (SELECT x.*, quota, row_number() OVER (PARTITION BY x.linked, x.repeated ORDER BY md5('42|' || entity_id), entity_id) AS place FROM rows_ x JOIN quota USING (linked, repeated)) WHERE place <= quota"""
+)
+def stratified_sample(spark, sf_dir):
+    queries, _ = X.split(X.records(spark, sf_dir))
+    return N.stratified_sample(queries, X.truth(spark, sf_dir), 40)
+
+
+@query()
+def hard_negative_sample(spark, sf_dir):
+    rows = featured(spark, sf_dir).select((F.col("pair") % 50).cast("string").alias("entity_id"), F.concat_ws("-", "pair", "line").alias("candidate_id"), N.hardness().alias("hardness"), N.category().alias("category"))
+    return N.mixed_negatives(rows, F.lit(20))
+
+
+@query(f"WITH {SCORED} SELECT entity_id, CAST('0x' || substr(md5('42|' || entity_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 AS training FROM entities")
+def train_split(spark, sf_dir):
+    return N.split(entities(spark, sf_dir))
