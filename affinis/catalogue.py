@@ -626,3 +626,456 @@ def hard_negative_sample(spark, sf_dir):
 @query(f"WITH {SCORED} SELECT entity_id, CAST('0x' || substr(md5('42|' || entity_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.8 AS training FROM entities")
 def train_split(spark, sf_dir):
     return N.split(entities(spark, sf_dir))
+
+
+# Decisions.
+
+_F05 = "CASE WHEN 1.25 * {tp} + ({n} - {tp}) + 0.25 * ({t} - {tp}) = 0 THEN 1.0 ELSE 1.25 * {tp} / (1.25 * {tp} + ({n} - {tp}) + 0.25 * ({t} - {tp})) END"
+
+
+def f05(tp: str, n: str, t: str) -> str:
+    return _F05.format(tp=f"({tp})", n=f"({n})", t=f"({t})")
+
+
+@query(
+    f"""WITH {SCORED}, eligible AS MATERIALIZED (SELECT s.entity_id, s.label, round(s.probability, 2) AS p, m.margin FROM (SELECT *, max(round(probability, 2)) OVER (PARTITION BY entity_id) AS top FROM scored) s,
+      (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.35), (0.5), (NULL)) m(margin) WHERE m.margin IS NULL OR round(s.probability, 2) >= round(greatest(0.0, s.top - m.margin), 9)),
+    points AS (SELECT DISTINCT m.margin, round(s.probability, 2) AS boundary FROM scored s, (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.35), (0.5), (NULL)) m(margin) UNION ALL SELECT m.margin, NULL FROM (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.35), (0.5), (NULL)) m(margin)),
+    counts AS (SELECT pt.margin, pt.boundary, e.entity_id, count(*) AS n, sum(label) AS tp FROM points pt JOIN eligible e ON e.margin IS NOT DISTINCT FROM pt.margin AND (pt.boundary IS NULL OR e.p > pt.boundary) GROUP BY ALL),
+    base AS (SELECT sum(CAST(actual = 0 AS DOUBLE)) AS empties, count(*) AS entities FROM actuals)
+    SELECT pt.margin, pt.boundary, round((any_value(b.empties) + coalesce(sum({f05('c.tp', 'c.n', 'a.actual')} - CAST(a.actual = 0 AS DOUBLE)), 0)) / any_value(b.entities), 6) AS score
+    FROM points pt LEFT JOIN counts c ON c.margin IS NOT DISTINCT FROM pt.margin AND c.boundary IS NOT DISTINCT FROM pt.boundary LEFT JOIN actuals a ON a.entity_id = c.entity_id, base b GROUP BY pt.margin, pt.boundary"""
+)
+def threshold_sweep(spark, sf_dir):
+    """On scores of two digits, so that SQL can try every boundary on all pairs."""
+    rows = scored(spark, sf_dir).withColumn("probability", F.round("probability", 2))
+    return TH.sweep(rows, actual(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def threshold_choice(spark, sf_dir):
+    boundary, margin, score = TH.choose(TH.sweep(scored(spark, sf_dir), actual(spark, sf_dir)))
+    return spark.createDataFrame([(boundary, margin, score)], "boundary double, margin double, score double")
+
+
+_DECIDED = "decided AS (SELECT entity_id, candidate_id, label, probability FROM (SELECT *, max(probability) OVER (PARTITION BY entity_id) AS top FROM scored) WHERE probability > 0.4 AND probability >= round(greatest(0.0, top - 0.2), 9))"
+
+
+def _decided(spark, sf_dir) -> DataFrame:
+    return TH.predictions(scored(spark, sf_dir), 0.4, 0.2)
+
+
+@query(f"WITH {SCORED}, {_DECIDED} SELECT entity_id, candidate_id, probability FROM decided")
+def margin_predictions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("entity_id", "candidate_id", "probability")
+
+
+_COUNTS = "counts AS (SELECT a.entity_id, a.k, CAST(coalesce(d.tp, 0) AS BIGINT) AS tp, CAST(coalesce(d.n, 0) AS BIGINT) AS predicted, CAST(a.actual AS BIGINT) AS actual FROM actuals a LEFT JOIN (SELECT entity_id, sum(label) AS tp, count(*) AS n FROM decided GROUP BY entity_id) d USING (entity_id))"
+
+
+def _counts(spark, sf_dir) -> DataFrame:
+    return M.entity_counts(entities(spark, sf_dir), _decided(spark, sf_dir), scored_truth(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SCORED}, {_DECIDED}, {_COUNTS}, g AS (SELECT round(((k * 37) % 101) / 101.0, 6) AS p, {f05('tp', 'predicted', 'actual')} AS kept, CAST(actual = 0 AS DOUBLE) AS dropped FROM counts),
+    b AS (SELECT DISTINCT p AS boundary FROM g UNION ALL SELECT NULL)
+    SELECT boundary, round(avg(CASE WHEN boundary IS NOT NULL AND p <= boundary THEN dropped ELSE kept END), 6) AS score FROM b, g GROUP BY boundary"""
+)
+def gate_sweep(spark, sf_dir):
+    gate = entities(spark, sf_dir).select("entity_id", F.round(((F.col("k") * 37) % 101) / 101.0, 6).alias("probability"))
+    return TH.gate_points(gate, _counts(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {SCORED}, best AS (SELECT a.entity_id, a.actual, s.label, s.p FROM actuals a LEFT JOIN (SELECT *, round(probability, 3) AS p, row_number() OVER (PARTITION BY entity_id ORDER BY round(probability, 3) DESC, candidate_id) AS n FROM scored) s ON s.entity_id = a.entity_id AND s.n = 1),
+    b AS (SELECT DISTINCT p AS boundary FROM best WHERE p IS NOT NULL UNION ALL SELECT NULL)
+    SELECT boundary, round(avg(CASE WHEN p IS NULL OR (boundary IS NOT NULL AND p <= boundary) THEN CAST(actual = 0 AS DOUBLE) ELSE {f05('label', '1', 'actual')} END), 6) AS score FROM b, best GROUP BY boundary"""
+)
+def top1_sweep(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumn("probability", F.round("probability", 3))
+    return TH.top1_points(rows, actual(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+_CLASSES = "classes AS (SELECT entity_id, k, ((k * 13) % 17) / 16.0 AS p0, ((k * 29) % 19) / 18.0 AS p1, ((k * 41) % 23) / 22.0 AS p2 FROM entities), labelled AS (SELECT entity_id, CASE WHEN CASE WHEN p0 >= greatest(p1, p2) THEN p0 >= 0.6 WHEN p1 >= p2 THEN p1 >= 0.5 ELSE p2 >= 0.7 END THEN CASE WHEN p0 >= greatest(p1, p2) THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END WHEN p1 > 0 AND p1 >= 0.5 AND p2 > 0 AND p2 >= 0.7 THEN CASE WHEN p2 > p1 THEN 2 ELSE 1 END WHEN p1 > 0 AND p1 >= 0.5 THEN 1 WHEN p2 > 0 AND p2 >= 0.7 THEN 2 ELSE 0 END AS cardinality, greatest(p0, p1, p2) AS confidence FROM classes)"
+
+
+def _classes(spark, sf_dir) -> DataFrame:
+    k = F.col("k")
+    rows = entities(spark, sf_dir).select("entity_id", ((k * 13) % 17 / 16.0).alias("p0"), ((k * 29) % 19 / 18.0).alias("p1"), ((k * 41) % 23 / 22.0).alias("p2"))
+    return TH.cardinality_labels(rows, {0: 0.6, 1: 0.5, 2: 0.7})
+
+
+@query(f"WITH {SCORED}, {_CLASSES} SELECT entity_id, cardinality, round(confidence, 6) AS confidence FROM labelled")
+def cardinality_labels(spark, sf_dir):
+    return _classes(spark, sf_dir).select("entity_id", "cardinality", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    f"""WITH {SCORED}, {_CLASSES}, r AS (SELECT s.*, c.cardinality, row_number() OVER (PARTITION BY s.entity_id ORDER BY probability DESC, candidate_id) AS n, max(probability) OVER (PARTITION BY s.entity_id) AS top FROM scored s JOIN labelled c USING (entity_id))
+    SELECT entity_id, candidate_id FROM r WHERE (cardinality = 1 AND n = 1 AND probability > 0.5) OR (cardinality >= 2 AND probability > 0.3 AND probability >= round(greatest(0.0, top - 0.25), 9))"""
+)
+def cardinality_policy(spark, sf_dir):
+    return TH.cardinality_predictions(scored(spark, sf_dir), _classes(spark, sf_dir), 0.5, 0.3, 0.25)
+
+
+@query()
+def entity_feature_table(spark, sf_dir):
+    rows = pair_features(spark, sf_dir).join(ranked(spark, sf_dir).select("query_id", "candidate_id", "rank"), ["query_id", "candidate_id"]).withColumnRenamed("query_id", "entity_id")
+    probability = F.round(0.6 * F.col("name_token_jaccard") + 0.4 * F.col("address_token_jaccard"), 9)
+    return E.entity_features(sides(spark, sf_dir)[0], rows.withColumns({"probability": probability, "calibrated": probability}), 0.5)
+
+
+@query(
+    f"""WITH {SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY probability DESC, rank, candidate_id) AS r FROM scored),
+    t AS (SELECT entity_id, coalesce(max(probability) FILTER (r = 1), 0) AS p1, coalesce(max(probability) FILTER (r = 2), 0) AS p2, coalesce(max(probability) FILTER (r = 3), 0) AS p3, avg(probability) FILTER (r <= 3) AS m3, stddev_pop(probability) AS sd, ln(1 + count(*)) AS lc,
+      CAST(count(*) FILTER (probability >= 0.5) AS DOUBLE) AS above, CAST(count(*) FILTER (candidate_id LIKE 'S2-%') AS DOUBLE) AS n2, coalesce(max(probability) FILTER (candidate_id LIKE 'S3-%'), 0) AS b3 FROM r GROUP BY entity_id)
+    SELECT e.entity_id, round(coalesce(p1, 0), 6) AS best_probability, round(coalesce(p1 - p2, 0), 6) AS probability_gap, round(coalesce(m3, 0), 6) AS top3_probability_mean, round(coalesce(sd, 0), 6) AS probability_std, round(coalesce(lc, 0), 6) AS log_candidate_count,
+      coalesce(above, 0) AS number_above_pair_threshold, round(coalesce(p1 / greatest(p2, 1e-6), 0), 4) AS top1_top2_ratio, round(coalesce(p1 - p3, 0), 6) AS top1_top3_gap, coalesce(n2, 0) AS s2_candidate_count, round(coalesce(b3, 0), 6) AS best_s3_probability
+    FROM entities e LEFT JOIN t USING (entity_id)"""
+)
+def entity_score_features(spark, sf_dir):
+    zero = F.lit(0.0)
+    blank = {c: zero for c in (*C.PAIR_FEATURES, *[f"candidate_block_{c}" for c in C.CHANNELS])}
+    rows = scored(spark, sf_dir).withColumns(blank).withColumn("calibrated", F.col("probability"))
+    names = ("best_probability", "probability_gap", "top3_probability_mean", "probability_std", "log_candidate_count", "number_above_pair_threshold", "top1_top3_gap", "s2_candidate_count", "best_s3_probability")
+    found = E.entity_features(entities(spark, sf_dir), rows, 0.5)
+    return found.select("entity_id", *[F.round(n, 6).alias(n) for n in names], F.round("top1_top2_ratio", 4).alias("top1_top2_ratio"))
+
+
+# Metrics.
+
+
+@query(f"WITH {SCORED}, {_DECIDED}, {_COUNTS} SELECT round(avg({f05('tp', 'predicted', 'actual')}), 6) AS macro_f05, count(*) AS entities FROM counts")
+def macro_f05(spark, sf_dir):
+    found = M.macro_f05(entities(spark, sf_dir), _decided(spark, sf_dir), scored_truth(spark, sf_dir))
+    return found.withColumn("macro_f05", F.round("macro_f05", 6))
+
+
+@query(f"WITH {SCORED}, {_DECIDED}, {_COUNTS} SELECT entity_id, tp, predicted, actual FROM counts")
+def entity_counts(spark, sf_dir):
+    return _counts(spark, sf_dir)
+
+
+def _rates(name: str, source: str) -> str:
+    return f"""round(sum(CAST(p AND t AND c LIKE '{source}%' AS INT)) / greatest(1, sum(CAST(p AND c LIKE '{source}%' AS INT))), 6) AS {name}precision, round(sum(CAST(p AND t AND c LIKE '{source}%' AS INT)) / greatest(1, sum(CAST(t AND c LIKE '{source}%' AS INT))), 6) AS {name}recall"""
+
+
+@query(
+    f"""WITH {SCORED}, {_DECIDED}, {SCORED_TRUTH}, m AS (SELECT coalesce(d.candidate_id, t.candidate_id) AS c, d.entity_id IS NOT NULL AS p, t.entity_id IS NOT NULL AS t FROM decided d FULL JOIN scored_truth t ON t.entity_id = d.entity_id AND t.candidate_id = d.candidate_id),
+    e AS (SELECT round(avg((probability - label) ** 2), 6) AS brier, round(avg(-CASE WHEN label = 1 THEN ln(least(greatest(probability, 1e-7), 1 - 1e-7)) ELSE ln(1 - least(greatest(probability, 1e-7), 1 - 1e-7)) END), 6) AS log_loss FROM scored)
+    SELECT {_rates('', '')}, {_rates('s2_', 'S2-')}, {_rates('s3_', 'S3-')}, any_value(brier) AS brier, any_value(log_loss) AS log_loss FROM m, e"""
+)
+def pair_metrics(spark, sf_dir):
+    return M.pair_metrics(scored(spark, sf_dir), _decided(spark, sf_dir), scored_truth(spark, sf_dir))
+
+
+@query(
+    f"""WITH {SCORED}, {_DECIDED}, {_COUNTS}, x AS (SELECT *, {f05('tp', 'predicted', 'actual')} AS f FROM counts)
+    SELECT round(count(*) FILTER (actual > 0 AND predicted > 0) / count(*) FILTER (predicted > 0), 6) AS linked_precision, round(count(*) FILTER (actual > 0 AND predicted > 0) / count(*) FILTER (actual > 0), 6) AS linked_recall,
+      round(avg(f) FILTER (actual = 0), 6) AS singleton_f05, round(avg(f) FILTER (actual > 0), 6) AS linked_f05, round(avg(f) FILTER (actual > 1), 6) AS multi_f05 FROM x"""
+)
+def linked_metrics(spark, sf_dir):
+    return M.linked_metrics(_counts(spark, sf_dir))
+
+
+@query(
+    f"""{O.ranked()}, {O.TRUTH}, l AS (SELECT r.rank, t.entity_id IS NOT NULL AS hit FROM ranked r LEFT JOIN truth t ON t.entity_id = r.query_id AND t.candidate_id = r.candidate_id), n AS (SELECT count(*) AS queries FROM profiles WHERE {O.QUERY}), t AS (SELECT count(*) AS truths FROM truth)
+    SELECT k, count(*) FILTER (rank <= k AND hit) AS hits, round(count(*) FILTER (rank <= k AND hit) / any_value(truths), 6) AS recall, round(count(*) FILTER (rank <= k) / any_value(queries), 6) AS kept FROM l, n, t, (VALUES (1), (2), (5), (10), (25)) ks(k) GROUP BY k"""
+)
+def candidate_recall_at_k(spark, sf_dir):
+    return M.recall_at(ranked(spark, sf_dir), X.truth(spark, sf_dir), sides(spark, sf_dir)[0], (1, 2, 5, 10, 25))
+
+
+@query(f"{O.ranked(max_frequency=1)}, s AS (SELECT p.entity_id, coalesce(c, 0) AS n FROM profiles p LEFT JOIN (SELECT query_id, count(*) AS c FROM ranked GROUP BY query_id) r ON r.query_id = p.entity_id WHERE {O.QUERY}) SELECT round(avg(n), 6) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS max FROM s")
+def size_percentiles(spark, sf_dir):
+    queries, targets = sides(spark, sf_dir)
+    found = R.retrieve(queries, targets, B.Blocking(max_frequency=1))
+    return M.size_summary(M.candidate_sizes(queries, found), "n")
+
+
+_CHANNEL_VALUES = ", ".join(f"('{c}')" for c in C.CHANNELS)
+
+
+@query(
+    f"""{O.ranked()}, {O.TRUTH}, e AS (SELECT query_id, candidate_id, unnest(channels) AS channel FROM ranked), n AS (SELECT count(*) AS queries FROM profiles WHERE {O.QUERY})
+    SELECT c.channel, count(e.query_id) AS candidates, count(t.entity_id) AS hits, round(count(e.query_id) / any_value(queries), 6) AS mean_size FROM (VALUES {_CHANNEL_VALUES}) c(channel) LEFT JOIN e USING (channel) LEFT JOIN truth t ON t.entity_id = e.query_id AND t.candidate_id = e.candidate_id, n GROUP BY c.channel"""
+)
+def channel_recall(spark, sf_dir):
+    return M.channel_recall(sides(spark, sf_dir)[0], ranked(spark, sf_dir), X.truth(spark, sf_dir))
+
+
+_QUANTILES = ", ".join(f"round(quantile_cont(score, {p}), 6) AS p{int(p * 100):02d}" for p in (0.01, 0.05, 0.5, 0.95, 0.99))
+
+
+@query(f"WITH {SCORED}, s AS (SELECT CASE label WHEN 1 THEN 'true' ELSE 'false' END AS dataset, substr(candidate_id, 1, 2) AS score_type, probability AS score FROM scored) SELECT dataset, score_type, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation, {_QUANTILES} FROM s GROUP BY ALL")
+def score_distribution(spark, sf_dir):
+    rows = scored(spark, sf_dir).select(F.when(F.col("label") == 1, "true").otherwise("false").alias("dataset"), F.left("candidate_id", F.lit(2)).alias("score_type"), F.col("probability").alias("score"))
+    return RP.drift(rows)
+
+
+_FOLD_SCORES = "SELECT 'm' || CAST(l_linenumber AS STRING) AS model, CAST(l_suppkey % 5 AS INT) AS fold, avg(l_discount * 10) AS score FROM lineitem GROUP BY l_linenumber, l_suppkey % 5"
+
+
+@query(f"WITH f AS ({_FOLD_SCORES}), s AS (SELECT model, round(avg(score), 6) AS mean, round(min(score), 6) AS least, round(max(score), 6) AS most, round(stddev_pop(score), 6) AS std, count(*) AS folds FROM f GROUP BY model) SELECT *, row_number() OVER (ORDER BY mean DESC, std, model) AS place FROM s")
+def model_comparison(spark, sf_dir):
+    X.tables(spark, sf_dir, "lineitem")
+    return RP.model_comparison(spark.sql(_FOLD_SCORES))
+
+
+@query(f"WITH f AS ({_FOLD_SCORES}) SELECT round(avg(score), 6) AS mean, round(min(score), 6) AS min, round(max(score), 6) AS max, round(stddev_pop(score), 6) AS std FROM f")
+def fold_summary(spark, sf_dir):
+    X.tables(spark, sf_dir, "lineitem")
+    return M.fold_summary(spark.sql(_FOLD_SCORES), "score")
+
+
+# Reports.
+
+_J, _A, _E, _P = "name_token_jaccard", "address_token_jaccard", "(line % 2 = 0)", "(line % 3 = 0)"
+_RULES = {
+    "same_name_different_address": f"name_core_exact = 1 AND ({_A} < 0.5 OR postal_code_conflict = 1 OR house_number_conflict = 1)", "same_address_different_name": f"(address_exact = 1 OR {_A} >= 0.8) AND {_J} < 0.5",
+    "franchise": "name_core_exact = 1 AND (postal_code_conflict = 1 OR house_number_conflict = 1)", "generic_name": "name_core_exact = 1 AND common_name_tokens <= 1", "postal_conflict": "postal_code_conflict = 1",
+    "house_conflict": "house_number_conflict = 1", "country_conflict": "country_conflict = 1", "normalization_collision": "name_core_exact = 1 AND name_exact = 0", "graph_false_support": f"{_P} AND NOT {_E} AND cross_source_support_count > 0",
+    "dba": f"{_E} AND name_variant_similarity >= 0.8 AND name_core_exact <> 1", "typo": f"{_E} AND name_char_similarity >= 0.55 AND name_char_similarity < 0.95 AND {_J} > 0",
+    "transliteration": f"{_E} AND name_tfidf_cosine >= 0.35 AND name_char_similarity < 0.5 AND {_J} > 0", "missing_address": f"{_E} AND has_address_both < 0.5", "missing_name": f"{_E} AND has_name_both < 0.5",
+    "address_reorder": f"{_E} AND {_A} >= 0.5 AND address_char_similarity + 0.15 < {_A}", "city_extraction_failure": f"{_E} AND city_token_jaccard = 0 AND ({_A} >= 0.5 OR postal_code_match = 1)",
+    "unseen_country_pattern": f"{_E} AND same_country = 1 AND has_address_both = 1 AND address_layout_country_plausibility <= 0.1",
+}
+_BUCKETS = f"bucketed AS MATERIALIZED (SELECT 'E' || (pair % 97) AS entity_id, pair || '-' || line AS candidate_id, {_E} AS expected, {_P} AS predicted, CASE WHEN len(b) > 0 THEN b ELSE ['other_candidate'] END AS buckets FROM (SELECT *, list_filter([{', '.join(f'CASE WHEN {r} THEN {chr(39)}{n}{chr(39)} END' for n, r in _RULES.items())}], lambda x: x IS NOT NULL) AS b FROM featured))"
+
+
+def _bucketed(spark, sf_dir) -> DataFrame:
+    expected, predicted = F.col("line") % 2 == 0, F.col("line") % 3 == 0
+    key = [F.concat(F.lit("E"), (F.col("pair") % 97).cast("string")).alias("entity_id"), F.concat_ws("-", "pair", "line").alias("candidate_id")]
+    return featured(spark, sf_dir).select(*key, expected.alias("expected"), predicted.alias("predicted"), RP.error_buckets(expected, predicted).alias("buckets"))
+
+
+@query(f"WITH {FEATURED}, {_BUCKETS} SELECT entity_id, candidate_id, expected, predicted, array_to_string(buckets, '|') AS buckets FROM bucketed")
+def error_buckets(spark, sf_dir):
+    return _bucketed(spark, sf_dir).withColumn("buckets", F.array_join("buckets", "|"))
+
+
+_MISSED = "missed AS (SELECT 'E' || (o_orderkey % 97) AS entity_id, 'miss-' || o_orderkey AS candidate_id FROM orders WHERE o_orderkey % 29 = 1)"
+_NOW, _MENDED = f05("t.tp", "t.predicted", "t.actual"), f05("t.tp + w.fn", "t.predicted - w.fp + w.fn", "t.actual")
+
+
+@query(
+    f"""WITH {FEATURED}, {_BUCKETS}, {_MISSED}, rows_ AS MATERIALIZED (SELECT entity_id, expected AS e, predicted AS p, buckets FROM bucketed UNION ALL SELECT entity_id, true, false, ['blocker_miss'] FROM missed),
+    each AS MATERIALIZED (SELECT entity_id, e, p, unnest(buckets) AS bucket FROM rows_), totals AS (SELECT entity_id, count(*) FILTER (e AND p) AS tp, count(*) FILTER (p) AS predicted, count(*) FILTER (e) AS actual FROM rows_ GROUP BY entity_id),
+    base AS (SELECT avg({f05('tp', 'predicted', 'actual')}) AS base, count(*) AS entities FROM totals),
+    wrong AS (SELECT bucket, entity_id, count(*) FILTER (p AND NOT e) AS fp, count(*) FILTER (e AND NOT p) AS fn FROM each GROUP BY ALL), gains AS (SELECT bucket, sum({_MENDED} - {_NOW}) AS gain FROM wrong w JOIN totals t USING (entity_id) GROUP BY bucket),
+    stats AS (SELECT bucket, count(*) AS pairs, count(*) FILTER (e AND p) AS tp, count(*) FILTER (p AND NOT e) AS fp, count(*) FILTER (e AND NOT p) AS fn FROM each GROUP BY bucket)
+    SELECT bucket, pairs, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 1.0 END, 6) AS recall, round(base + gain / entities, 6) AS score_if_fixed, round(gain / entities, 6) AS impact
+    FROM stats JOIN gains USING (bucket), base"""
+)
+def bucket_impact(spark, sf_dir):
+    rows = staged(_bucketed(spark, sf_dir))
+    key = F.concat(F.lit("E"), (F.col("o_orderkey") % 97).cast("string")).alias("entity_id"), F.concat(F.lit("miss-"), F.col("o_orderkey").cast("string")).alias("candidate_id")
+    missed = read(spark, sf_dir, "orders").filter("o_orderkey % 29 = 1").select(*key)
+    truth = rows.filter("expected").select("entity_id", "candidate_id").unionByName(missed)
+    return RP.bucket_report(rows, truth, rows.select("entity_id").unionByName(missed.select("entity_id")))
+
+
+_COLLIDING = f"""f AS (SELECT country, 'name' AS field, business_name AS raw, name_core AS key FROM profiles UNION ALL SELECT p.country, 'address', r.business_address, address_raw FROM profiles p JOIN every_record r USING (entity_id)),
+    groups_ AS MATERIALIZED (SELECT field, country, key, count(*) AS records, count(DISTINCT raw) AS raw_values, array_to_string(list(DISTINCT raw ORDER BY raw)[:5], ' | ') AS examples FROM f WHERE key <> '' GROUP BY ALL HAVING count(DISTINCT raw) > 1)"""
+
+
+@query(f"{O.base(True)}, {_COLLIDING} SELECT * FROM groups_")
+def normalization_collisions(spark, sf_dir):
+    return RP.collisions(X.records(spark, sf_dir, extra=True))
+
+
+@query(f"{O.base(True)}, {_COLLIDING} SELECT field, count(*) AS collisions, CAST(sum(records) AS BIGINT) AS records, max(raw_values) AS most_raw_values FROM groups_ GROUP BY field")
+def collision_summary(spark, sf_dir):
+    return RP.collision_summary(RP.collisions(X.records(spark, sf_dir, extra=True)))
+
+
+_SHARES = ", ".join(f"round(avg(CAST(len({c}) > 0 AS DOUBLE)), 6) AS {n}" for n, c in {"city": "city_words", "state": "state_words", "postal": "postals", "unit": "units", "phone": "phones", "landmark": "coalesce(landmarks, [])"}.items())
+
+
+@query(f"{O.base(True)} SELECT country, count(*) AS records, round(avg(CAST(name_core <> '' AS DOUBLE)), 6) AS name, round(avg(CAST(house_number <> '' AS DOUBLE)), 6) AS house, round(avg(CAST(len(variants) > 1 AS DOUBLE)), 6) AS alias, {_SHARES} FROM profiles LEFT JOIN landmark_words USING (entity_id) GROUP BY country")
+def normalization_audit(spark, sf_dir):
+    return RP.audit(profiles(spark, sf_dir))
+
+
+@query()
+def country_stress(spark, sf_dir):
+    """Recall of candidates when countries are missing or misspelled, per scenario."""
+    queries, targets = X.split(X.records(spark, sf_dir))
+    truth, out = X.truth(spark, sf_dir), None
+    for name, (countries, corrupt) in RP.SCENARIOS.items():
+        q = staged(P.profile(RP.hide_country(queries, countries, corrupt)))
+        t = staged(P.profile(targets if corrupt else RP.hide_country(targets, countries)))
+        found = M.recall_at(staged(R.retrieve(q, t)), truth, q, (1, 5, 25)).withColumn("scenario", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query()
+def retrieval_ablation(spark, sf_dir):
+    """Recall and list sizes over trigram limits, limit multipliers and context modes."""
+    queries, targets = sides(spark, sf_dir)
+    out = None
+    for ngrams, multiplier, mode in ((4, 0.5, "once"), (6, 1.0, "once"), (6, 1.0, "per_channel")):
+        how = B.Blocking(limit_multiplier=multiplier, ngrams=ngrams, context=mode)
+        found = M.recall_at(staged(R.retrieve(queries, targets, how)), X.truth(spark, sf_dir), queries, (1, 5, 25))
+        found = found.select(F.lit(ngrams).alias("ngrams"), F.lit(multiplier).alias("multiplier"), F.lit(mode).alias("mode"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+# Validation.
+
+_LISTS_SQL = """SELECT 'S1-' || CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 7 = 0 THEN 'S2-1,S2-1' WHEN c_custkey % 11 = 0 THEN 'S1-5,S2-3' WHEN c_custkey % 13 = 0 THEN 'X-9' ELSE 'S2-' || CAST(c_custkey AS STRING) END AS items FROM customer WHERE c_custkey % 17 <> 0
+    UNION ALL SELECT 'S1-3', 'S2-3' FROM customer WHERE c_custkey = 1 UNION ALL SELECT 'S1-999999', '' FROM customer WHERE c_custkey = 1"""
+
+
+@query(
+    f"""WITH {O.RECORDS}, raw_lists AS ({_LISTS_SQL}), lists AS MATERIALIZED (SELECT id, list_filter(string_split(items, ','), lambda x: x <> '') AS items FROM raw_lists), own AS (SELECT entity_id AS id FROM records WHERE {O.QUERY}), targets AS (SELECT entity_id AS item FROM records WHERE {O.TARGET}),
+    each AS (SELECT id, unnest(items) AS item FROM lists), found AS (
+      SELECT 'duplicate_row' AS rule, id AS example FROM lists GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_in_list', id FROM lists WHERE len(items) <> len(list_distinct(items)) UNION ALL SELECT 'self_match', item FROM each WHERE item LIKE 'S1-%'
+      UNION ALL SELECT 'wrong_prefix', item FROM each WHERE NOT regexp_matches(item, '^S[123]-') UNION ALL SELECT 'missing_row', id FROM own WHERE id NOT IN (SELECT id FROM lists) UNION ALL SELECT 'extra_row', id FROM lists WHERE id NOT IN (SELECT id FROM own)
+      UNION ALL SELECT 'unknown_target', item FROM each WHERE item NOT IN (SELECT item FROM targets))
+    SELECT r.rule, 'error' AS severity, count(f.rule) AS n, coalesce(array_to_string(list_sort(list_distinct(list(f.example) FILTER (f.example IS NOT NULL)))[:5], ','), '') AS examples
+    FROM (VALUES ('duplicate_row'), ('duplicate_in_list'), ('self_match'), ('wrong_prefix'), ('missing_row'), ('extra_row'), ('unknown_target')) r(rule) LEFT JOIN found f USING (rule) GROUP BY r.rule"""
+)
+def validate_submission(spark, sf_dir):
+    X.tables(spark, sf_dir, "customer")
+    lists = spark.sql(_LISTS_SQL).select("id", F.filter(F.split("items", ","), lambda x: x != "").alias("items"))
+    queries, targets = X.split(X.records(spark, sf_dir))
+    return V.check_lists(lists, queries, targets)
+
+
+# Models.
+
+
+@query()
+def pair_model_scores(spark, sf_dir):
+    """Scores of four kinds of model for the candidates of the first queries."""
+    truth = X.truth(spark, sf_dir)
+    rows = staged(N.training_pairs(pair_features(spark, sf_dir), truth, 6))
+    out = rows.select("entity_id", "candidate_id", "label")
+    for kind in ("logistic", "logistic_unweighted", "logistic_source_specific", "boosted"):
+        scored_rows = ML.fit(rows, kind).transform(rows).select("entity_id", "candidate_id", F.col("probability").alias(kind))
+        out = out.join(scored_rows, ["entity_id", "candidate_id"])
+    return out
+
+
+@query()
+def mlp_rerank(spark, sf_dir):
+    rows = staged(N.training_pairs(pair_features(spark, sf_dir), X.truth(spark, sf_dir), 6))
+    first = ML.fit(rows, "logistic").transform(rows)
+    top = ML.top_scored(first, 5)
+    return ML.fit_reranker(rows).transform(top).select("entity_id", "candidate_id", "label", "probability")
+
+
+@query()
+def platt_calibrated(spark, sf_dir):
+    rows = scored(spark, sf_dir)
+    platt = ML.fit_platt(rows)
+    return rows.select("entity_id", "candidate_id", "label", platt.apply(F.col("probability")).alias("calibrated"))
+
+
+@query(f"WITH {SCORED} SELECT entity_id, candidate_id, round((probability + probability * probability + 0.25) / 3, 6) AS ensemble, CASE WHEN candidate_id LIKE 'S2-%' THEN probability ELSE round(1 - probability, 6) END AS by_source FROM scored")
+def ensemble_scores(spark, sf_dir):
+    p = F.col("probability")
+    mean = F.round(ML.mean_probability(p, p * p, F.lit(0.25)), 6)
+    return scored(spark, sf_dir).select("entity_id", "candidate_id", mean.alias("ensemble"), ML.by_source(F.col("candidate_id"), p, F.round(1 - p, 6)).alias("by_source"))
+
+
+@query()
+def linkage_end_to_end(spark, sf_dir):
+    """Training, calibration, gate and matching on the derived records."""
+    queries, targets = X.split(X.records(spark, sf_dir))
+    config = L.Config(folds=3, negatives=6, adversarial=2, graph=False)
+    prepared, fitted, oof = L.train(queries, targets, X.truth(spark, sf_dir), config)
+    _, matches = L.match(queries, prepared, L.fit_gate(oof, queries, X.truth(spark, sf_dir), fitted), config)
+    return matches
+
+
+# Relational operators on the star tables.
+
+
+@query("SELECT o_orderkey, c_name, n_name, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 100000")
+def star_equi_join(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").filter("o_totalprice > 100000").select("o_orderkey", "o_custkey", "o_totalprice")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    joined = orders.join(customers, orders.o_custkey == customers.c_custkey).join(read(spark, sf_dir, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select("o_orderkey", "c_name", "n_name", "o_totalprice")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_join(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_join(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'")
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey")
+def left_join_default(spark, sf_dir):
+    counts = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    customers = read(spark, sf_dir, "customer").select("c_custkey")
+    return customers.join(counts, customers.c_custkey == counts.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
+
+
+@query("SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3")
+def topk_per_group(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    ranked_orders = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("place", F.row_number().over(order).cast("long"))
+    return ranked_orders.filter("place <= 3").drop("o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS running FROM lineitem")
+def running_sum(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(order).alias("running"))
+
+
+@query("SELECT k, source FROM (SELECT k, source, row_number() OVER (PARTITION BY k ORDER BY source) AS n FROM (SELECT c_custkey AS k, 'a' AS source FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, 'b' FROM supplier)) WHERE n = 1")
+def union_distinct_keep_first(spark, sf_dir):
+    a = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("a").alias("source"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("b").alias("source"))
+    return a.unionByName(b).groupBy("k").agg(F.min("source").alias("source"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(CAST(l_discount > 0.05 AS INT)) AS discounted, round(sum(CASE WHEN l_quantity > 25 THEN l_extendedprice ELSE 0 END), 2) AS large FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
+def conditional_agg(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").filter(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count("*").alias("n"), F.sum((F.col("l_discount") > 0.05).cast("int")).alias("discounted"), F.round(F.sum(F.when(F.col("l_quantity") > 25, F.col("l_extendedprice")).otherwise(0.0)), 2).alias("large")
+    )
+
+
+@query("SELECT lang, quality, toxic, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM documents JOIN labels USING (doc_id) GROUP BY ALL")
+def label_quality_join(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("lang", "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"))
+
+
+# Streams.
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ST.event_windows(rows).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query()
+def streaming_micro_batch(spark, sf_dir):
+    """Queries that arrive in files, matched batch by batch against staged targets."""
+    root = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    queries, _ = X.split(X.records(spark, sf_dir))
+    queries.repartition(2).write.mode("overwrite").parquet(f"{root}/in")
+    targets = staged(sides(spark, sf_dir)[1])
+    stream = ST.read_stream(spark, f"{root}/in", queries.schema)
+    running = ST.match_stream(stream, targets, f"{root}/out", f"{root}/checkpoint")
+    running.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("query_id", "candidate_id", "rank", "score")
