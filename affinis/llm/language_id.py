@@ -148,7 +148,7 @@ def fit(training: DataFrame, vocabulary: int = VOCABULARY, n_grams: int = GRAMS)
     tables = {}
     for order, entries in rows.items():
         total = np.array([sums.get((lang, order), 0) for lang in langs], float)
-        n = np.array(list(entries.values())).reshape(-1, len(langs))
+        n = np.array(list(entries.values())).reshape(len(entries), len(langs))
         logs = np.log((n + 0.5) / (total + 0.5 * (len(entries) + 1)))  # what a language does not keep counts a half
         tables[order] = ({g: i for i, g in enumerate(entries)}, logs)
     return Model(langs, np.array([sums.get((lang, 0), 0) for lang in langs]), tables)
