@@ -951,11 +951,11 @@ def validate_submission(spark, sf_dir):
 
 @query()
 def pair_model_scores(spark, sf_dir):
-    """Scores of four kinds of model for the candidates of the first queries."""
+    """Scores of three kinds of model for all true candidates and a quota of false ones."""
     truth = X.truth(spark, sf_dir)
     rows = staged(N.training_pairs(pair_features(spark, sf_dir), truth, 6))
     out = rows.select("entity_id", "candidate_id", "label")
-    for kind in ("logistic", "logistic_unweighted", "logistic_source_specific", "boosted"):
+    for kind in ("logistic", "logistic_source_specific", "boosted"):
         scored_rows = ML.fit(rows, kind).transform(rows).select("entity_id", "candidate_id", F.col("probability").alias(kind))
         out = out.join(scored_rows, ["entity_id", "candidate_id"])
     return out
@@ -976,10 +976,10 @@ def platt_calibrated(spark, sf_dir):
     return rows.select("entity_id", "candidate_id", "label", platt.apply(F.col("probability")).alias("calibrated"))
 
 
-@query(f"WITH {SCORED} SELECT entity_id, candidate_id, round((probability + probability * probability + 0.25) / 3, 6) AS ensemble, CASE WHEN candidate_id LIKE 'S2-%' THEN probability ELSE round(1 - probability, 6) END AS by_source FROM scored")
+@query(f"WITH {SCORED} SELECT entity_id, candidate_id, round((probability + probability * probability + 0.25) / 3, 3) AS ensemble, CASE WHEN candidate_id LIKE 'S2-%' THEN probability ELSE round(1 - probability, 6) END AS by_source FROM scored")
 def ensemble_scores(spark, sf_dir):
     p = F.col("probability")
-    mean = F.round(ML.mean_probability(p, p * p, F.lit(0.25)), 6)
+    mean = F.round(ML.mean_probability(p, p * p, F.lit(0.25)), 3)
     return scored(spark, sf_dir).select("entity_id", "candidate_id", mean.alias("ensemble"), ML.by_source(F.col("candidate_id"), p, F.round(1 - p, 6)).alias("by_source"))
 
 
@@ -1032,9 +1032,9 @@ def topk_per_group(spark, sf_dir):
     return ranked_orders.filter("place <= 3").drop("o_totalprice")
 
 
-@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS running FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber RANGE UNBOUNDED PRECEDING) AS running FROM lineitem")
 def running_sum(spark, sf_dir):
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.sum("l_quantity").over(order).alias("running"))
 
 
