@@ -18,7 +18,7 @@ labelled text every text is ``und``. Other columns are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter, OrderedDict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,15 +96,28 @@ class Model:
     def __init__(self, langs: list[str], totals: np.ndarray, tables: dict[int, tuple[dict[str, int], np.ndarray]]):
         self.langs, self.totals, self.tables = langs, totals, tables
 
-    def score_unseen(self, word: str) -> np.ndarray | None:
+    def score_unseen(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of words that are not in the model, and whether any n-gram of each is."""
+        scores, some = np.zeros((len(new), len(self.langs))), np.zeros(len(new), bool)
+        rest = range(len(new))
         for order in ORDERS:
-            index, logs = self.tables.get(order, ({}, None))
-            at = [index[g] for g in grams(word, order) if g in index]
-            if at:
-                return logs[at].mean(axis=0)
-        return None
-
-    def predict(self, text: str | None, remembered: OrderedDict) -> tuple[str, float]:
+            index, logs = self.tables[order]
+            flat, sizes, mine, left = [], [], [], []
+            for i in rest:
+                at = [index[g] for g in grams(new[i], order) if g in index]
+                if at:
+                    flat += at
+                    sizes.append(len(at))
+                    mine.append(i)
+                else:
+                    left.append(i)
+            if mine:
+                scores[mine] = np.add.reduceat(logs[flat], np.cumsum([0, *sizes[:-1]]), axis=0) / np.array(sizes)[:, None]
+                some[mine] = True
+            rest = left
+        return scores, some
+
+    def predict(self, text: str | None, memory: Memory) -> tuple[str, float]:
         found = words(text)
         if not found or not self.langs:
             return UNKNOWN, 0.0
@@ -114,14 +127,10 @@ class Model:
         known = at[at >= 0]
         total, n = logs[known].sum(axis=0), len(known)
         if n < len(found):
-            for word in (w for w, i in zip(found, at.tolist(), strict=True) if i < 0):
-                if word not in remembered:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.popitem(last=False)
-                    remembered[word] = self.score_unseen(word)
-                score = remembered[word]
-                if score is not None:
-                    total, n = total + score, n + 1
+            unseen = [found[i] for i in np.flatnonzero(at < 0).tolist()]
+            for i in range(0, len(unseen), REMEMBERED):
+                scores, some = memory.recall(unseen[i : i + REMEMBERED])
+                total, n = total + scores.sum(axis=0), n + int(some.sum())
         if not n:
             return self.langs[int(np.argmax(self.totals))], 1 / len(self.langs)
         mean = total / n * SHARPNESS
@@ -130,6 +139,26 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
+class Memory:
+    """Scores of up to REMEMBERED unseen words; it starts anew when full."""
+
+    def __init__(self, model: Model):
+        self.model, self.row = model, {}
+        self.scores, self.some = np.zeros((REMEMBERED, len(model.langs))), np.zeros(REMEMBERED, bool)
+
+    def recall(self, unseen: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        new = [w for w in dict.fromkeys(unseen) if w not in self.row]
+        if len(self.row) + len(new) > REMEMBERED:
+            self.row.clear()
+            new = list(dict.fromkeys(unseen))
+        if new:
+            at = len(self.row)
+            self.scores[at : at + len(new)], self.some[at : at + len(new)] = self.model.score_unseen(new)
+            self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        rows = np.fromiter(map(self.row.__getitem__, unseen), np.int64, len(unseen))
+        return self.scores[rows], self.some[rows]
+
+
 def _most_frequent(every: DataFrame, vocabulary: int, n_grams: int) -> DataFrame:
     """The entries of the highest counts of each language and order, as many steps of the count
     as fit the bound. A step is a sixteenth of a doubling, so a histogram of a thousand steps
@@ -177,9 +206,9 @@ def predictor(spark, model: Model):
 
     @F.arrow_udf(PREDICTION)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, remembered = sent.value, OrderedDict()
+        model, memory = sent.value, Memory(sent.value)
         for texts in batches:
-            pairs = [model.predict(t.as_py(), remembered) for t in texts]
+            pairs = [model.predict(t.as_py(), memory) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([p for p, _ in pairs], pa.string()), pa.array([s for _, s in pairs], pa.float64())], ["lang_pred", "score"])
 
     return predict

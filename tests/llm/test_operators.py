@@ -309,7 +309,7 @@ def test_language(spark):
     kept = language_id.accepted(docs(spark, asked), model)
     assert kept.columns == docs(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7]
     nothing = language_id.fit(docs(spark, []))
-    assert nothing.predict("word", {}) == ("und", 0.0)
+    assert nothing.predict("word", language_id.Memory(nothing)) == ("und", 0.0)
 
 
 # 9 Chat formatting
