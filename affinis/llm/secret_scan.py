@@ -1,6 +1,9 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of 16 or more letters, digits and ``+/_=-`` with a digit among them. Each
+Candidates are runs of 16 or more letters, digits and ``+/_=-`` with a digit among them, and
+whatever is assigned to a name with a secret word in it, however short and without digits. A
+run is split at its signs of assignment: ``name=`` belongs to the text before the value, while
+``=`` at the end is padding and stays. Each candidate
 is described by its length, its transitions between character classes, the share of it that
 dictionary words cover, the path of its document, and the words on either side. A random
 forest trained on labelled findings gives each candidate the probability that it is a secret.
@@ -11,8 +14,9 @@ digests, UUIDs, paths, identifiers, placeholders). Another table of the same col
 (candidate, before, after, path, label) can be given.
 
 Defined cases: a null text has no candidates; a null path counts as empty; repeated rows are
-each reported; overlapping runs do not occur, as runs are maximal. Other columns are not looked
-at. An empty table gives no findings.
+each reported; candidates do not overlap. A run of 16 characters none of whose parts between
+signs has 16 and a digit is reported by its last part. A value assigned by ``${...}`` or ``$(...)``
+is a reference, not a value. Other columns are not looked at. An empty table gives no findings.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ from pyspark.sql import functions as F
 
 from affinis.llm._shared import staged
 
-RUN = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*+[0-9])[A-Za-z0-9+/_=\-]{16,}+"
 CONTEXT = 80
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 40, 8, 7
@@ -38,11 +41,33 @@ DICTIONARY = (
     "page", "part", "pass", "password", "placeholder", "prod", "release", "replace", "sample", "secret", "section", "server", "service", "src", "staging",
     "table", "test", "text", "the", "this", "token", "update", "user", "value", "version", "view", "with", "word", "your",
 )
+# Words and constants that stand after a secret word without being one.
+COMMON = (
+    "about", "always", "anna", "because", "company", "disabled", "enabled", "every", "everything", "false", "found", "given", "government", "hidden", "india", "invalid", "john", "london",
+    "missing", "must", "never", "nobody", "none", "nothing", "null", "only", "optional", "people", "required", "should", "string", "there", "true", "undefined", "what", "world",
+)
 # Neighbouring words for and against.
 SECRET_WORDS = "token|secret|passw|pwd|api[_ -]?key|apikey|access|auth|bearer|credential|private|client|signing"
 OTHER_WORDS = "commit|sha|md5|hash|digest|checksum|uuid|guid|revision|card|phone|order|invoice|isbn|serial|etag|version|http"
 SAMPLE_PATH = "test|example|sample|mock|fixture|doc"
 
+LETTER, PLAIN = r"A-Za-z+/_\-", r"A-Za-z0-9+/_\-"
+#: A part of 16 characters with a digit, with its padding; and any run of 16 with a digit but without such a part.
+LONG = rf"(?=[{LETTER}]*+[0-9])[{PLAIN}]{{16}}"
+PART = rf"(?<![{PLAIN}]){LONG}[{PLAIN}]*+(?:=++(?![{PLAIN}]))?"
+GLUED = rf"(?<![{PLAIN}=])(?=[{LETTER}=]*+[0-9])(?=[{PLAIN}=]{{16}})(?![{PLAIN}=]*?(?<![{PLAIN}]){LONG})[{PLAIN}=]++"
+NAME = rf"^[{PLAIN}=]*=(?=[{PLAIN}])"  # of a glued run
+#: Between a name and its value, and the end of an assignment to a secret name.
+SIGN = r"[\"'`]?[ \t]{0,16}[=:]{1,2}>?[ \t]{0,16}(?:(?i:bearer|basic)[ \t]{1,4})?[\"'`]?"
+NAMED = rf"(?i:{SECRET_WORDS})[A-Za-z0-9_.\-]{{0,64}}{SIGN}"
+BARE = r"[^\s\"'`&,;<>(){}\[\]|]"
+VALUE = (
+    # most places are behind a letter or one blank after a word: dismissed first
+    rf"(?<=[=:>\s\"'`])(?:(?<![^=:>\"'`\s]\s)|(?<=[rRcC][ \t]))(?=[^\s\"'`&,;<>(){{}}\[\]|=:])(?!\$[{{(])(?!(?i:bearer|basic)[ \t]{{1,4}}[^\s])(?![{PLAIN}]+=+{LONG})(?<=[=:]>?[ \t]{{0,16}}(?:[A-Za-z]{{5,6}}[ \t]{{1,4}})?[\"'`]?)(?<={NAMED})"
+    rf"(?:(?<=\")[^\"\s]+(?=\")|(?<=')[^'\s]+(?=')|(?<=`)[^`\s]+(?=`)|{BARE}*[^\s\"'`&,;<>(){{}}\[\]|.!?:])"
+)
+RUN = f"{PART}|{GLUED}|{VALUE}"
+
 
 def features(candidate: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
     length = F.length(candidate)
@@ -60,7 +85,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
 
     return {
         "length": length.cast("double"),
-        "transitions": (runs - 1) / (length - 1),
+        "transitions": (runs - 1) / F.greatest(length - 1, F.lit(1)),
         "distinct": F.size(F.array_distinct(F.split(candidate, ""))) / length,
         "repeats": (length - F.length(F.regexp_replace(candidate, r"(.)\1+", "$1"))) / length,
         "digits": share("0-9"),
@@ -71,7 +96,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "dictionary": (length - F.length(bare)) / length,
         "slashes": (length - F.length(F.replace(candidate, F.lit("/"), F.lit("")))).cast("double"),
         "sample_path": flag(F.lower(path).rlike(SAMPLE_PATH)),
-        "assigned": flag(before.rlike(r"[=:]\s*[\"'`]?$")),
+        "assigned": flag(before.rlike(r"[=:]>?\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "in_path": flag(before.rlike(r"[/.@]$")),
         "secret_word": flag(near.rlike(SECRET_WORDS)),
@@ -85,16 +110,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     path = docs["source"].cast("string") if "source" in docs.columns else F.lit("")
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.coalesce(path, F.lit("")).alias("path"))
     rows = rows.filter(F.col("text").rlike(RUN)).withColumn("row_id", F.monotonically_increasing_id())
-    found = rows.select("doc_id", "row_id", "path", F.split("text", RUN, -1).alias("gaps"), F.expr(f"regexp_extract_all(text, r'{RUN}', 0)").alias("runs"))
+    found = rows.select("doc_id", "row_id", "path", F.split("text", RUN, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(RUN), F.lit(0)).alias("runs"))
     ends = F.transform("gaps", lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("tail"), F.left(g, F.lit(CONTEXT)).alias("head")))
     found = found.select("doc_id", "row_id", "path", "runs", ends.alias("gaps"))
-    zipped = F.arrays_zip(F.col("runs"), F.col("gaps"), F.slice("gaps", F.lit(2), F.size("runs")).alias("next"))
+    zipped = F.arrays_zip(F.col("runs"), F.col("gaps"), F.slice("gaps", F.lit(2), F.size("runs")).alias("next"), F.concat(F.array(F.lit("")), "runs").alias("last"))
     each = found.select("doc_id", "row_id", "path", F.size("runs").alias("n"), F.posexplode(zipped).alias("place", "z")).filter("place < n")
     so_far = Window.partitionBy("row_id").orderBy("place")  # of one text's candidates
-    run = F.col("z.runs")
+    run, tail = F.col("z.runs"), F.col("z.gaps.tail")
+    # a run that was found itself and is assigned to is the name of the next
+    text_before = F.concat(F.when(tail.rlike(f"^{SIGN}$"), F.col("z.last")).otherwise(""), tail)
+    name = F.when(text_before.rlike(f"{NAMED}$"), "").otherwise(F.regexp_extract(run, NAME, 0))
+    each = each.select(
+        "doc_id", "place", "path", run.alias("run"), name.alias("name"), text_before.alias("text_before"), F.col("z.next.head").alias("after"),
+        (F.sum(F.col("z.gaps.gap") + F.length(run)).over(so_far) - F.length(run)).alias("run_start"),
+    )
     return each.select(
-        "doc_id", "place", (F.sum(F.col("z.gaps.gap") + F.length(run)).over(so_far) - F.length(run)).alias("start"), run.alias("candidate"),
-        F.col("z.gaps.tail").alias("before"), F.col("z.next.head").alias("after"), "path",
+        "doc_id", "place", (F.col("run_start") + F.length("name")).alias("start"), F.substring("run", F.length("name") + 1, F.length("run")).alias("candidate"),
+        F.right(F.concat("text_before", "name"), F.lit(CONTEXT)).alias("before"), "after", "path",
     )
 
 
@@ -121,16 +153,21 @@ def labelled_findings(spark: SparkSession, per_kind: int = 250) -> DataFrame:
         "secret_name": pick("s", "token", "secret", "password", "api_key", "API_KEY", "access_token", "auth", "client_secret", "TOKEN", "Bearer"),
         "other_name": pick("t", "commit", "sha1", "md5", "checksum", "revision", "digest", "etag"), "id_name": pick("u", "id", "uuid", "guid", "request"),
         "card_name": pick("c", "card ", "order ", "phone ", "invoice "), "end": pick("e", "", " of the", ". Then", "\n", ", and", "!!"),
+        "passphrase": F.concat(pick("y", *COMMON), i, pick("k", "!", "#", "", "$")), "common": pick("g", *COMMON), "short": (F.pmod(F.xxhash64(F.concat(i, F.lit("l"))), F.lit(8)) + 8).cast("int"),
         "path": pick("a", "src0", "src17", "config.yaml", "app/settings.py", "tests/fixture.json", "docs/readme.md"), **{f"word{n}": pick(s, *DICTIONARY) for n, s in enumerate("pqrst")},
     }
     rows = staged(spark.range(0, per_kind, 1, 4).select(*[c.alias(k) for k, c in plain.items()]), "findings_parts")
     c = {k: F.col(k) for k in plain}
+    digitless = F.translate("base64", "0123456789+/", "qWzKvXbTgHRm")
     words, letters, nothing = [c[f"word{n}"] for n in range(5)], F.regexp_replace("base64", "[+/]", "x"), F.lit("")
     # label, candidate, name before it, and how it follows the name: assigned, maybe assigned (None), or directly
     kinds = [
         (1, c["sha1"], c["secret_name"], True), (1, F.upper("sha1"), F.upper("secret_name"), True), (1, c["base64"], c["secret_name"], True), (1, c["md5"], c["secret_name"], True),
         (1, F.concat(F.lit("AKIA"), F.left(F.upper(letters), F.lit(16))), nothing, None), (1, F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), nothing, None),
         (1, F.concat(F.lit("sk_live_"), F.left(letters, F.lit(24))), c["secret_name"], True),
+        (1, F.left(letters, c["short"]), c["secret_name"], True), (1, F.left(digitless, c["short"] * 2), c["secret_name"], True), (1, c["passphrase"], c["secret_name"], True),
+        (0, c["common"], c["secret_name"], True), (0, F.initcap("common"), c["secret_name"], True), (0, words[0], c["secret_name"], True), (0, F.concat_ws("_", *words[:2]), c["secret_name"], True),
+        (0, F.concat_ws(".", *words[:2]), c["secret_name"], True), (0, c["number"], c["secret_name"], True),
         (0, c["digits"], nothing, False), (0, c["digits"], c["card_name"], False),
         (0, c["sha1"], c["other_name"], None), (0, c["md5"], c["other_name"], None), (0, c["uuid"], c["id_name"], None),
         (0, F.concat_ws("/", *words[:3], c["number"]), nothing, False), (0, F.concat_ws("-", *words[:3], c["number"]), nothing, None),

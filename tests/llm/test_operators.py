@@ -294,6 +294,28 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, []), model).count() == 0
 
 
+def test_assigned_secrets(spark):
+    """Unquoted assignments without blanks, and short and digitless values of secret names."""
+    sha, letters = hashlib.sha1(b"k").hexdigest(), "qWzKvXbTgHRmplJhTrEwQx"
+    cases = [
+        (f"token={sha}", sha, "token="), (f"GET /x?client_secret={sha}&y=1", sha, "client_secret="), (f"A=1\nAPI_KEY={sha}\nB=2", sha, "API_KEY="),
+        (f"token={sha[:22]}==", sha[:22] + "==", "token="), (f"MY_SERVICE_API_KEY_2={sha}", sha, "MY_SERVICE_API_KEY_2="), ('password = "xK7pQ2vR9"', "xK7pQ2vR9", 'password = "'),
+        (f"secret={letters}", letters, "secret="), (f"Authorization: Bearer {letters}", letters, "Bearer "), ("'pwd' => 'xK7$&;pQ2v'", "xK7$&;pQ2v", "'pwd' => '"),
+        (f"token={sha}/key={sha}", sha, "/key="), ("user=abc123def456", "abc123def456", "user="),
+    ]
+    model = secret_scan.fit(secret_scan.labelled_findings(spark))
+    rows = [(i, t) for i, (t, *_) in enumerate(cases)] + [(90, "The secret: nobody knows it."), (91, "token=${TOKEN} a=b"), (92, "=" * 20_000 + "a=" * 20_000 + " x")]
+    got = defaultdict(list)
+    for r in secret_scan.scan(docs(spark, rows), model).collect():
+        got[r.doc_id].append(r)
+        assert dict(rows)[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate
+    for i, (_, value, before) in enumerate(cases):
+        assert any(r.candidate == value and r.before.endswith(before) for r in got[i]), (i, got[i])
+    secrets = {i for i, (_, value, _) in enumerate(cases) if any(r.candidate == value and r.is_secret for r in got[i])}
+    assert secrets >= set(range(9)), {i: [(r.candidate, r.score) for r in rs] for i, rs in got.items()}
+    assert not any(r.is_secret for r in got[90]) and not got[91]
+
+
 # 8 Language
 
 
