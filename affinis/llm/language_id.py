@@ -2,8 +2,9 @@
 
 Training counts every word of every labelled training text. Each language keeps up to
 ``VOCABULARY`` words, and for each order 5, 4, ..., 1 up to ``GRAMS`` character n-grams of its
-words (with edge marks), down to that count at which they still fit. These two bounds are the
-size of the model, which is what is sent to the tasks; counts and totals cover all texts.
+words (with edge marks), by falling count until the bound is full. These two bounds are the
+size of the model, which is what is sent to the tasks; counts and totals cover all texts, and
+an entry that any language keeps has its count in every language.
 
 A known word scores its log frequency in each language. An unseen word falls back to its
 5-grams; if none is known, to its 4-grams, and so on down to single characters. The mean
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.llm._shared import small_batches, staged
@@ -33,6 +35,8 @@ VOCABULARY = 50_000
 GRAMS = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 SHARPNESS = 4.0
+#: Hash buckets that entries of one count are cut by.
+TIES = 4096
 UNKNOWN = "und"
 #: Distinct words a task counts before it passes its counts on, and unseen words it remembers.
 COUNTED = 200_000
@@ -160,18 +164,31 @@ class Memory:
 
 
 def _most_frequent(every: DataFrame, vocabulary: int, n_grams: int) -> DataFrame:
-    """The entries of the highest counts of each language and order, as many steps of the count
-    as fit the bound. A step is a sixteenth of a doubling, so a histogram of a thousand steps
-    tells where to cut, and no language's entries meet in one task."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    cuts, room = [], {}
-    for r in sorted(every.groupBy("lang", "ord", step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.step):
-        left = room.setdefault((r.lang, r.ord), n_grams if r.ord else vocabulary)
-        room[r.lang, r.ord] = left - r.n if left >= r.n else -1
-        if left >= r.n:
-            cuts.append((r.lang, r.ord, r.step))
-    chosen = every.sparkSession.createDataFrame(cuts, "lang string, ord int, step int")
-    return every.withColumn("step", step).join(F.broadcast(chosen), ["lang", "ord", "step"], "left_semi")
+    """The entries of the highest counts of each language and order, up to the bound; of equal
+    counts those of the lowest hash buckets, and of one bucket the first grams. Histograms of
+    steps (a sixteenth of a doubling), of the counts in the step that does not fit whole, and of
+    the buckets of the count that does not, tell where to cut: no language's entries meet in one
+    task but those of one bucket of one count."""
+    spark, room = every.sparkSession, {}
+    rest, kept = every, []
+    for key in (-F.floor(F.log2("n") * 16), -F.col("n"), F.pmod(F.xxhash64("gram"), F.lit(TIES))):
+        keyed, whole, edge = rest.withColumn("key", key.cast("long")), [], {}
+        for r in sorted(keyed.groupBy("lang", "ord", "key").agg(F.count("*").alias("size")).collect(), key=lambda r: r.key):
+            left = room.setdefault((r.lang, r.ord), n_grams if r.ord else vocabulary)
+            if (r.lang, r.ord) in edge:
+                continue
+            if left >= r.size:
+                room[r.lang, r.ord] = left - r.size
+                whole.append((r.lang, r.ord, r.key))
+            else:
+                edge[r.lang, r.ord] = r.key
+        cuts = [spark.createDataFrame(rows, "lang string, ord int, key long") for rows in (whole, [(*k, v) for k, v in edge.items()])]
+        taken, rest = (keyed.join(F.broadcast(c), ["lang", "ord", "key"], "left_semi").drop("key") for c in cuts)
+        kept.append(taken)
+    left = spark.createDataFrame([(*k, v) for k, v in room.items()], "lang string, ord int, room long")
+    place = F.row_number().over(Window.partitionBy("lang", "ord").orderBy("gram")).alias("place")
+    kept.append(rest.select("*", place).join(F.broadcast(left), ["lang", "ord"]).filter("place <= room").drop("place", "room"))
+    return reduce(DataFrame.unionByName, kept)
 
 
 def fit(training: DataFrame, vocabulary: int = VOCABULARY, n_grams: int = GRAMS) -> Model:
@@ -180,18 +197,19 @@ def fit(training: DataFrame, vocabulary: int = VOCABULARY, n_grams: int = GRAMS)
     gram_counts = counts.mapInArrow(_gram_rows, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     every = counts.select("lang", F.lit(0).alias("ord"), F.col("word").alias("gram"), "n").unionByName(gram_counts)
     every = staged(every, "gram_counts")
-    kept = _most_frequent(every, vocabulary, n_grams)
+    kept = staged(_most_frequent(every, vocabulary, n_grams).select("ord", "gram").distinct(), "kept_grams")
+    counted = every.join(F.broadcast(kept), ["ord", "gram"], "left_semi")  # in all languages; as bounded as the model
     sums = {(r.lang, r.ord): r.n for r in every.groupBy("lang", "ord").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for lang, _ in sums})
     number = {lang: i for i, lang in enumerate(langs)}
     rows: dict[int, dict[str, np.ndarray]] = {o: {} for o in (0, *ORDERS)}
-    for r in kept.select("lang", "ord", "gram", "n").toLocalIterator():
+    for r in counted.select("lang", "ord", "gram", "n").toLocalIterator():
         rows[r.ord].setdefault(r.gram, np.zeros(len(langs)))[number[r.lang]] = r.n
     tables = {}
     for order, entries in rows.items():
         total = np.array([sums.get((lang, order), 0) for lang in langs], float)
         n = np.array(list(entries.values())).reshape(len(entries), len(langs))
-        logs = np.log((n + 0.5) / (total + 0.5 * (len(entries) + 1)))  # what a language does not keep counts a half
+        logs = np.log((n + 0.5) / (total + 0.5 * (len(entries) + 1)))  # what a language does not have counts a half
         tables[order] = ({g: i for i, g in enumerate(entries)}, logs)
     return Model(langs, np.array([sums.get((lang, 0), 0) for lang in langs]), tables)
 

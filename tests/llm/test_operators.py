@@ -334,6 +334,18 @@ def test_language(spark):
     assert nothing.predict("word", language_id.Memory(nothing)) == ("und", 0.0)
 
 
+def test_language_model_is_filled_and_counts_everywhere(spark):
+    rows = [(1, "both " * 3 + " ".join(f"a{chr(97 + i)}" for i in range(20)), "aa"), (2, "both " + "mine " * 5 + "yours " * 4 + "ours " * 4, "bb")]
+    model = language_id.fit(docs(spark, rows), vocabulary=3, n_grams=4)
+    index, logs = model.tables[0]
+    assert "both" in index and sum(w.startswith("a") for w in index) == 2 and {"mine", "yours", "ours"} <= set(index) and len(index) == 6
+    n = np.exp(logs) * (model.totals + 0.5 * (len(index) + 1)) - 0.5
+    assert np.allclose(n[index["both"]], [3, 1]) and np.allclose(n[index["mine"]], [0, 5])
+    every = spark.createDataFrame([("aa", o, f"g{i}", 1 + i % 2) for o in (0, 5) for i in range(50)], "lang string, ord int, gram string, n long")
+    kept = language_id._most_frequent(every, 40, 10).collect()
+    assert len([r for r in kept if r.ord == 0]) == 40 and sum(r.n == 2 for r in kept if r.ord == 0) == 25 and [r.n for r in kept if r.ord == 5] == [2] * 10
+
+
 # 9 Chat formatting
 
 
