@@ -17,8 +17,9 @@ has fewer. With ``slop`` above 0 proximity matches are returned too: the phrase'
 order within slop extra words.
 
 Defined cases: a null or wordless text has no words; a null or wordless item matches
-nothing, nor does an item without an id. Items that share an id are one. Repeated
-documents are all returned. An empty benchmark finds nothing. Other columns are not looked at.
+nothing. An item without an id is left out, or with ``unnamed``, as in the query and the
+pipeline, its passages count as hits and it is left out of the list of ids only. Items that
+share an id are one. Repeated documents are all returned. An empty benchmark finds nothing. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -201,16 +202,17 @@ def _match(lookup, slop: int):
                                 found[doc].append((item, s - int(starts[doc]), e - int(starts[doc]) + 1, what))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()), pa.array(sizes),
-                     pa.array([[dict(zip(("item_id", "start", "end", "kind"), m, strict=True)) for m in sorted(found.get(d, ()))] for d in range(len(sizes))], kind)], schema=schema,
+                     pa.array([[dict(zip(("item_id", "start", "end", "kind"), m, strict=True)) for m in sorted(found.get(d, ()), key=lambda m: (m[0] or "", m[0] is None, *m[1:]))] for d in range(len(sizes))], kind)], schema=schema,
                 )
 
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_block: int = ITEM_BLOCK) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0, item_block: int = ITEM_BLOCK, unnamed: bool = False) -> DataFrame:
     """One row per document: doc_id, text_key, n_words and its matches, as spans of word positions (end excluded)."""
     spark = docs.sparkSession
-    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item_id"), benchmark["text"].alias("text")).filter("text is not null")
+    items = items if unnamed else items.filter("item_id is not null")
     blocks, block = [], []
     for row in items.toLocalIterator():  # the query set, a block at a time
         block.append((row.item_id, words(row.text)))
@@ -250,11 +252,11 @@ def report(found: DataFrame) -> DataFrame:
         lambda a, x: F.struct(F.greatest(a["upto"], x["e"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["e"] - F.greatest(a["upto"], x["s"]))).alias("n")),
         lambda a: a["n"],
     )
-    items = F.array_sort(F.array_distinct(F.transform(exact, lambda m: m["item_id"])))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform(exact, lambda m: m["item_id"]))))
     return found.select("doc_id", "text_key", "n_words", covered.alias("n_hit"), items.alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark passage, with their own columns."""
-    found = report(matches(docs, benchmark))
+    found = report(matches(docs, benchmark, unnamed=True))
     return keep_rows(docs, staged(found.select("doc_id", "text_key", (F.col("n_hit") == 0).alias("kept")), "decided"))

@@ -416,6 +416,20 @@ def test_decontaminate_keeps_clean_documents(spark):
     assert [r.n_hit for r in decontaminate.report(decontaminate.matches(docs(spark, [(1, "a")]), bench.limit(0))).collect()] == [0]
 
 
+def test_items_without_an_id_are_hits(spark, tmp_path):
+    bench = spark.createDataFrame([(None, "p q r"), (None, "u v"), (1, "q r s")], "item_id long, text string")
+    rows = [(1, "x p q r s y"), (2, "u v"), (3, "clean"), (4, "q r s")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(queries.ORACLE_SQL["op10_decontaminate"]).fetchall())
+    assert [(r[0], r[2], r[3]) for r in sorted(got)] == [(1, 4, 1), (2, 2, 0), (3, 0, 0), (4, 3, 1)]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs(spark, rows), bench).collect()] == [3]
+
+
 # Queries and the pipeline
 
 
