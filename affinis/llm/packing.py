@@ -38,11 +38,8 @@ from affinis.llm._shared import small_batches, staged
 LENGTH = 2048
 GROUP = 20_000
 END = 0
-#: Extent of the local search: passes over the open sequences, sequences looked at for an
-#: exchange, and the giver's longest pieces that are tried two at a time.
-ROUNDS = 20
+#: The fullest open sequences that are looked at one by one for an exchange, before all are at once.
 NEIGHBOURS = 200
-PAIRED = 16
 
 
 @cache
@@ -109,6 +106,7 @@ class Bins:
         self.length, self.bins, self.free = length, [], []
         self.by_free: dict[int, set[int]] = defaultdict(set)
         self.some = 0  # bit r is set if a bin has r free
+        self.table = None  # of the pieces in open bins, until an exchange
 
     def place(self, at: int, free: int) -> None:
         old = self.free[at]
@@ -135,6 +133,7 @@ class Bins:
 
     def exchange(self, a: int, out: list, b: int, back: list) -> None:
         """Entries ``out`` of bin a go to bin b, and entries ``back`` of b to a."""
+        self.table = None
         for x in out:
             self.bins[a].remove(x)
             self.bins[b].append(x)
@@ -145,11 +144,19 @@ class Bins:
         self.place(a, self.free[a] + change)
         self.place(b, self.free[b] - change)
 
+    def pieces(self, open_: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bin, length and the bin's free room of every piece in an open bin, the fullest bins first."""
+        if self.table is None:
+            rows = [(at, x[0], self.free[at]) for at in reversed(open_) if self.free[at] for x in self.bins[at]]
+            self.table = tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+        return self.table
 
-def local_search(bins: Bins, rounds: int = ROUNDS) -> int:
+
+def local_search(bins: Bins) -> int:
     """Moves and exchanges pieces between open bins until none helps; returns the steps taken."""
     steps = 0
-    for _ in range(rounds):
+    while True:  # every step raises the sum of squared fills, which is bounded
+        bins.table = None
         open_ = sorted((at for at in range(len(bins.bins)) if bins.bins[at] and bins.free[at]), key=lambda at: (-bins.free[at], at))
         before = steps
         for giver in open_:
@@ -189,11 +196,13 @@ def _move(bins: Bins, giver: int):
 
 def _swap(bins: Bins, giver: int, open_: list[int]):
     """The exchange of one or two of the giver's pieces for a shorter piece that fills another
-    bin most, among the NEIGHBOURS fullest open bins."""
+    bin most: of the first of the NEIGHBOURS fullest open bins that has one, or else of any."""
     entries = sorted(bins.bins[giver], reverse=True)
     given = {e[0]: [e] for e in entries}
-    for i, x in enumerate(entries[:PAIRED]):
-        for y in entries[i + 1 : PAIRED]:
+    # a length makes at most one pair with itself, and a bin has few lengths
+    once = [e for i, e in enumerate(entries) if i < 2 or entries[i - 2][0] != e[0]]
+    for i, x in enumerate(once):
+        for y in once[i + 1 :]:
             given.setdefault(x[0] + y[0], [x, y])
     sums = sorted(given)
     tried = 0
@@ -203,7 +212,7 @@ def _swap(bins: Bins, giver: int, open_: list[int]):
             continue
         tried += 1
         if tried > NEIGHBOURS:
-            return None
+            return _swap_any(bins, giver, open_, given, sums)
         best, gain = None, 0
         for back in bins.bins[at]:
             i = bisect_right(sums, back[0] + free) - 1
@@ -214,6 +223,19 @@ def _swap(bins: Bins, giver: int, open_: list[int]):
     return None
 
 
+def _swap_any(bins: Bins, giver: int, open_: list[int], given: dict, sums: list[int]):
+    """The exchange that fills the fullest bin with one most, among all open bins."""
+    at, back, free = bins.pieces(open_)
+    fits = np.searchsorted(sums, back + free, side="right") - 1
+    gain = np.where((fits >= 0) & (at != giver) & (free <= bins.free[giver]), np.array(sums)[fits] - back, 0)
+    better = np.flatnonzero(gain > 0)
+    if not len(better):
+        return None
+    same = better[at[better] == at[better[0]]]
+    i = same[np.argmax(gain[same])]
+    return given[sums[fits[i]]], int(at[i]), [next(x for x in bins.bins[at[i]] if x[0] == back[i])]
+
+
 def pack(lengths: list[int], length: int = LENGTH) -> list[list[int]]:
     """The items of each sequence."""
     bins = Bins(length)

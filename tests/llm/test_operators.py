@@ -253,6 +253,19 @@ def test_local_search_raises_squares_and_empties_bins():
         assert sorted(i for b in packed for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 2048 for b in packed)
 
 
+def test_local_search_looks_at_all_open_bins():
+    """The only exchange that helps is behind more than NEIGHBOURS fuller bins."""
+    bins = packing.Bins(100)
+    for i, sizes in enumerate([[99]] * 300 + [[60, 30], [45, 35]]):
+        bins.bins.append([(s, (i, k)) for k, s in enumerate(sizes)])
+        bins.free.append(100)
+        bins.by_free[100].add(i)
+        bins.place(i, 100 - sum(sizes))
+    before = sum((100 - f) ** 2 for f in bins.free)
+    assert packing.local_search(bins) > 0 and sum((100 - f) ** 2 for f in bins.free) > before
+    assert sorted(x for b in bins.bins for _, x in b) == sorted([(i, 0) for i in range(302)] + [(300, 1), (301, 1)])
+
+
 # 6 Exact dedup
 
 
