@@ -3,8 +3,9 @@
 Each text becomes a 64-bit fingerprint; fingerprints with at most ``RADIUS`` differing
 bits are linked, and documents are grouped by reachability over links.
 
-A table of Hamming distances from each fingerprint to ``PIVOTS`` fixed reference
-fingerprints is computed once. By the triangle inequality two fingerprints within
+Tables of Hamming distances from fingerprints to ``PIVOTS`` fixed reference fingerprints are
+computed where fingerprints meet, anew for each key and each pair of chunks, and are not
+stored: recomputing is what keeps them out of the shuffle of the keys. By the triangle inequality two fingerprints within
 RADIUS bits differ by at most RADIUS in every coordinate, so a pair whose largest
 coordinate difference is greater is discarded unseen; the survivors are verified on the
 fingerprints themselves.
