@@ -2,9 +2,10 @@
 
 Rules are a host (it fits the host and all its subdomains) and a path prefix. Each rule's
 string is hashed to 64 bits with XXH64; the sorted keys, with the offsets of the full strings
-behind them, are one file that every task maps into memory. For a url all strings that a
-rule could have (each parent domain, with each path prefix as long as some rule's) are hashed
-and probed at once by binary search, and a hit counts only if the stored full string is
+behind them, are one file that every task maps into memory: a temporary file of the task's own,
+written from the broadcast and unlinked at once, as memory mapping needs a local file. For a url
+all strings that a rule could have (each parent domain of at most as many labels as the longest
+rule's host, with each path prefix as long as some rule's) are hashed and probed at once by binary search, and a hit counts only if the stored full string is
 equal, so colliding keys cannot match. The longest matching rule gives the verdict; a url
 that none fits is allowed, as it is not listed.
 
@@ -12,7 +13,8 @@ The file is sent to the tasks while the rules have at most ``RULE_BYTES`` bytes;
 list is cut into key ranges, each of them probed in turn in the same way.
 
 Defined cases: a null url, and one without ``://``, has an empty host and path, and no rule
-fits. Repeated urls are all returned; rules may repeat, and of equal ones with different
+fits. A host or path of any length is looked at whole; what it costs grows with the labels and
+paths that rules have, not with its own. Repeated urls are all returned, an empty table gives no rows; rules may repeat, and of equal ones with different
 verdicts block wins. Other columns are not looked at.
 """
 
@@ -86,19 +88,21 @@ class DigestArray:
         return self.strings[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].tobytes()
 
 
-def probes_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The strings a fitting rule can have, for rules whose paths have these lengths."""
+def probes_of(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """The strings a fitting rule can have, for rules of at most ``labels`` host labels whose
+    paths have these lengths. A longer suffix of the host equals no rule's host, and is not made."""
     if not host:
         return []
-    labels = host.split(".")
-    parents = [".".join(labels[i:]) for i in range(len(labels))]
+    tail = host.rsplit(".", labels)  # what is before the longest suffix a rule can have stays whole
+    tail = tail[1:] if len(tail) > labels else tail
+    parents = [".".join(tail[i:]) for i in range(len(tail))]
     return [p + path[:n] for p in parents for n in lengths if n <= len(path)]
 
 
 JUDGED = "host string, path string, rule string, verdict string"
 
 
-def _judge(sent, lengths):
+def _judge(sent, lengths, labels):
     @F.arrow_udf(JUDGED)
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         listed = DigestArray(sent.value)
@@ -109,7 +113,7 @@ def _judge(sent, lengths):
         parts = [host_and_path(u.as_py()) for u in urls]
         probes, owner = [], []
         for i, (host, path) in enumerate(parts):
-            own = [p.encode() for p in probes_of(host, path, lengths)]
+            own = [p.encode() for p in probes_of(host, path, lengths, labels)]
             probes += own
             owner += [i] * len(own)
         rules: list[str | None] = [None] * len(parts)
@@ -140,7 +144,8 @@ def rule_blocks(rules: list[tuple[str, str]], most: int = RULE_BYTES) -> list[li
 def judged(spark, url: Column, rules: list[tuple[str, str]], most: int = RULE_BYTES) -> Column:
     """struct<host, path, rule, verdict> of a url column."""
     lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r, _ in rules})
-    found = [_judge(spark.sparkContext.broadcast(digest_array(block)), lengths)(url) for block in rule_blocks(rules, most)]
+    labels = max((r.split("/")[0].count(".") + 1 for r, _ in rules), default=1)
+    found = [_judge(spark.sparkContext.broadcast(digest_array(block)), lengths, labels)(url) for block in rule_blocks(rules, most)]
 
     def longer(a: Column, b: Column) -> Column:
         return F.when(F.coalesce(F.length(b["rule"]), F.lit(-1)) > F.coalesce(F.length(a["rule"]), F.lit(-1)), b).otherwise(a)
