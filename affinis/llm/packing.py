@@ -14,14 +14,19 @@ are dealt by hash to groups of about ``GROUP`` pieces, and a task packs each gro
 Groups lose at most the unfilled remainder of their last sequences; with tens of thousands of
 pieces in each that is well under one in a thousand, and no group grows with the input.
 
-Defined cases: a null text is empty and becomes a document of only the end id; repeated
-rows are packed once each; null doc_ids are packed like others. Other columns are not
+Ids are those of ``tokenizers``. Byte-pair merging by ``tiktoken`` over the same vocabulary gives the
+same ids about three times as fast, but its pattern matcher fails on runs of hundreds of thousands of
+blanks; a text with a run of ``BLANKS`` or more is encoded by ``tokenizers`` itself.
+
+Defined cases: a null text is empty and becomes a document of only the end id; texts of any length
+are encoded whole, one text at a time; repeated rows are packed once each, and pieces of equal length are packed in the order of rows; null doc_ids are packed like others. Other columns are not
 looked at. An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_right
 from collections import defaultdict
 from functools import cache
@@ -38,6 +43,8 @@ from affinis.llm._shared import small_batches, staged
 LENGTH = 2048
 GROUP = 20_000
 END = 0
+#: A run of white space that is left to ``tokenizers``.
+BLANKS = re.compile(r"\s{50000}")
 #: The fullest open sequences that are looked at one by one for an exchange, before all are at once.
 NEIGHBOURS = 200
 
@@ -55,9 +62,24 @@ def encoder(path: str, special: bool = True):
     added = {t["content"]: t["id"] for t in model["added_tokens"]}
     ranks = {bytes(bytes_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
     bpe = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    if special:
-        return lambda text: bpe.encode(text, allowed_special=set(added), disallowed_special=()) if any(t in text for t in added) else bpe.encode_ordinary(text)
-    return bpe.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if len(text) >= 50_000 and BLANKS.search(text):
+            return _tokenizer(path, special).encode(text, add_special_tokens=False).ids
+        if special and any(t in text for t in added):
+            return bpe.encode(text, allowed_special=set(added), disallowed_special=())
+        return bpe.encode_ordinary(text)
+
+    return encode
+
+
+@cache
+def _tokenizer(path: str, special: bool):
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = not special
+    return found
 
 
 def _byte_letters() -> dict[int, str]:
