@@ -8,8 +8,9 @@ as canonical JSON (sorted keys, no white space).
 
 Tool messages are JSON texts: of an assistant ``{"tool_calls": [{"id", "name",
 "arguments", "depends_on"}]}``, of a tool ``{"tool_call_id", "content"}``. In a conversation
-without them a user's turn is a call of the tool ``reply`` with its text as ``content``,
-and the assistant's turn that follows it is the result.
+without one of these a user's turn is a call of the tool ``reply`` with its text as ``content``,
+and the assistant's turn that follows it is the result; in a conversation with one, turns that
+are no tool messages are plain messages.
 
 The order is the key (effective_turn, hops, turn, part): a node keeps its own turn unless
 something it needs comes later; then it takes that one's effective turn and stands behind it.
@@ -20,7 +21,8 @@ Defined cases: null conv_id, turn or role are kept, and a null conv_id or turn l
 null text is an empty one; a text that is not valid JSON is a plain message. Of several
 results with one call id all are returned and linked, and marked ``repeated`` where the id
 occurs more than once. Nodes on or behind a cycle of needs are marked ``cyclic``, and keep the
-key they had when that was found. Other columns are not looked at.
+key they had when that was found. A message without conv_id is a conversation of its own. Texts
+of any length are handled whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -46,6 +48,10 @@ def nodes(messages: DataFrame) -> DataFrame:
     calls, result = F.col("m.tool_calls"), F.col("m.tool_call_id")
     is_call = F.coalesce((F.col("role") == "assistant") & (F.size(calls) > 0), F.lit(False))
     is_result = F.coalesce((F.col("role") == "tool") & result.isNotNull(), F.lit(False))
+    # only in a conversation without tool messages are a user's and an assistant's turns call and result
+    with_tools = parsed.filter(is_call | is_result).select(F.col("conv_id").alias("tool_conv")).distinct()
+    parsed = parsed.join(with_tools, F.col("conv_id") == F.col("tool_conv"), "left")
+    implied = F.col("tool_conv").isNull()
     entry = "array<struct<kind: string, call_id: string, name: string, arguments: string, depends_on: array<string>, content: string>>"
 
     def node(kind: str, **fields: Column) -> Column:
@@ -56,8 +62,8 @@ def nodes(messages: DataFrame) -> DataFrame:
     parts = (
         F.when(is_call, F.transform(calls, lambda c: node("call", call_id=c["id"], name=c["name"], arguments=c["arguments"], depends_on=c["depends_on"])).cast(entry))
         .when(is_result, F.array(node("result", call_id=result, content=F.col("m.content"))).cast(entry))
-        .when(F.col("role") == "user", F.array(node("call", call_id=later, name=F.lit(REPLY), arguments=F.to_json(own))).cast(entry))
-        .when(F.col("role") == "assistant", F.array(node("result", call_id=F.concat(F.lit("turn:"), F.col("turn").cast("string")), content=F.col("text"))).cast(entry))
+        .when(implied & (F.col("role") == "user"), F.array(node("call", call_id=later, name=F.lit(REPLY), arguments=F.to_json(own))).cast(entry))
+        .when(implied & (F.col("role") == "assistant"), F.array(node("result", call_id=F.concat(F.lit("turn:"), F.col("turn").cast("string")), content=F.col("text"))).cast(entry))
         .otherwise(F.array(node("message", content=F.col("text"))).cast(entry))
     )
     return parsed.select("conv_id", "turn", "role", F.posexplode(parts).alias("part", "n")).select("conv_id", "turn", "part", "role", "n.*")

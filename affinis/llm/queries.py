@@ -80,6 +80,39 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "role", "kind", "call_id", "status", "effective_turn", F.array_join("errors", ";").alias("errors"), "json")
 
 
+TOOL_SCHEMAS = [("search", "q", "string", True), ("search", "k", "integer", False), ("lookup", "q", "string", True), ("lookup", "k", "integer", True), ("lookup", "limit", "integer", True)]
+
+
+def tool_conversations(conversations: DataFrame) -> DataFrame:
+    """Conversations whose assistant's turns are tool calls with identifiers, and whose user's turns are results.
+
+    Some identifiers repeat, some results come before their calls, some calls need another's result, and
+    arguments are ill-typed, unknown, incomplete or no object at all."""
+    turn, k = F.col("turn"), F.col("turn").cast("string")
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    quoted = F.substring(text, 6, 1_000_000_000)  # with the closing brace
+    quoted = F.substr(quoted, F.lit(1), F.length(quoted) - 1)
+
+    def spelled(*parts) -> F.Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    name = F.when(turn % 3 == 0, "search").when(turn % 3 == 1, "lookup").otherwise("none")
+    own = F.when(turn % 6 == 5, "c1").otherwise(spelled("c", k))
+    arguments = F.when(turn % 4 == 1, spelled('{"q": ', quoted, ', "k": "', k, '"}')).when(turn % 7 == 2, "[1]").otherwise(spelled('{"k": ', k, ', "q": ', quoted, "}"))
+    needs = F.when(turn % 5 == 4, spelled('["c', (turn - 2).cast("string"), '"]')).otherwise("[]")
+    call = spelled('{"tool_calls": [{"id": "', own, '", "name": "', name, '", "arguments": ', arguments, ', "depends_on": ', needs, "}]}")
+    answered = F.when(turn % 4 == 2, turn + 1).otherwise(turn - 1).cast("string")
+    result = spelled('{"tool_call_id": "c', answered, '", "content": ', quoted, "}")
+    role = F.when(F.col("role") == "user", "tool").otherwise(F.col("role"))
+    return conversations.select("conv_id", "turn", role.alias("role"), F.when(role == "assistant", call).when(role == "tool", result).otherwise(F.col("text")).alias("text"))
+
+
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on tool calls and results with identifiers of their own."""
+    found = chat_format.formatted(tool_conversations(table(spark, sf_dir, "conversations")), TOOL_SCHEMAS)
+    return found.select("conv_id", "turn", "role", "kind", "call_id", "status", "effective_turn", F.array_join("errors", ";").alias("errors"), "json")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True))
     sha = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -88,7 +121,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_simhash, op3_quality, op4_url_filter, op5_packing, op6_exact_dedup, op7_secret_scan, op8_language_id, op9_chat_format, op10_decontaminate)
+    for f in (op1_sharding, op2_simhash, op3_quality, op4_url_filter, op5_packing, op6_exact_dedup, op7_secret_scan, op8_language_id, op9_chat_format, op10_decontaminate, chat_tool_links)
 }
 
 ORACLE_SQL = {
@@ -131,6 +164,40 @@ ORACLE_SQL = {
                          ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS json
         FROM nodes n
     """,
+    "chat_tool_links": r"""
+        WITH RECURSIVE nodes AS (
+          SELECT conv_id, turn, CASE role WHEN 'user' THEN 'tool' ELSE role END AS role, coalesce(text, '') AS text, CASE role WHEN 'assistant' THEN 'call' WHEN 'user' THEN 'result' ELSE 'message' END AS kind,
+                 CASE role WHEN 'assistant' THEN CASE WHEN turn % 6 = 5 THEN 'c1' ELSE 'c' || turn END WHEN 'user' THEN 'c' || CASE WHEN turn % 4 = 2 THEN turn + 1 ELSE turn - 1 END END AS call_id,
+                 CASE WHEN role = 'assistant' AND turn % 5 = 4 THEN 'c' || (turn - 2) END AS needs
+          FROM conversations
+        ), point AS (
+          SELECT conv_id, kind, call_id, min(turn)::BIGINT AS turn FROM nodes WHERE kind <> 'message' GROUP BY ALL
+        ), edge AS (  -- what has to come before what
+          SELECT c.conv_id, 'call' AS from_kind, c.call_id AS from_id, 'result' AS kind, c.call_id FROM point c JOIN point r USING (conv_id, call_id) WHERE c.kind = 'call' AND r.kind = 'result'
+          UNION SELECT n.conv_id, 'result', n.needs, 'call', n.call_id FROM nodes n JOIN point r ON r.conv_id = n.conv_id AND r.kind = 'result' AND r.call_id = n.needs WHERE n.needs IS NOT NULL
+        ), reach AS (
+          SELECT conv_id, kind, call_id, turn FROM point
+          UNION SELECT r.conv_id, e.kind, e.call_id, r.turn FROM reach r JOIN edge e ON e.conv_id = r.conv_id AND e.from_kind = r.kind AND e.from_id = r.call_id
+        ), latest AS (
+          SELECT conv_id, kind, call_id, max(turn) AS eff FROM reach GROUP BY ALL
+        ), counts AS (
+          SELECT conv_id, call_id, count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results FROM nodes WHERE kind <> 'message' GROUP BY ALL
+        ), described AS (
+          SELECT n.*, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'none' END AS name, turn % 4 <> 1 AND turn % 7 = 2 AS listed, turn % 4 = 1 AS ill_typed
+          FROM nodes n
+        )
+        SELECT n.conv_id, n.turn, n.role, n.kind, n.call_id,
+               CASE n.kind WHEN 'call' THEN CASE WHEN results = 0 THEN 'unanswered' WHEN calls > 1 THEN 'repeated' ELSE 'linked' END
+                           WHEN 'result' THEN CASE WHEN calls = 0 THEN 'unasked' WHEN results > 1 THEN 'repeated' ELSE 'linked' END END AS status,
+               greatest(n.turn, coalesce(eff, n.turn)) AS effective_turn,
+               CASE WHEN n.kind = 'call' THEN CASE WHEN name = 'none' THEN 'unknown tool' WHEN listed THEN 'arguments are no object'
+                    ELSE concat_ws(';', CASE WHEN ill_typed THEN 'wrong type of k' END, CASE WHEN name = 'lookup' THEN 'missing limit' END) END END AS errors,
+               CASE n.kind WHEN 'call' THEN '{"arguments":' || CASE WHEN listed THEN '[1]' WHEN ill_typed THEN '{"k":"' || n.turn || '","q":' || to_json(text) || '}' ELSE '{"k":' || n.turn || ',"q":' || to_json(text) || '}' END
+                                        || ',"id":"' || n.call_id || '","name":"' || name || '","role":"assistant"}'
+                           WHEN 'result' THEN '{"content":' || to_json(text) || ',"id":"' || n.call_id || '","role":"tool"}'
+                           ELSE '{"content":' || to_json(text) || ',"role":' || to_json(n.role) || '}' END AS json
+        FROM described n LEFT JOIN latest l ON l.conv_id = n.conv_id AND l.kind = n.kind AND l.call_id = n.call_id LEFT JOIN counts c ON c.conv_id = n.conv_id AND c.call_id = n.call_id
+    """,
     "op10_decontaminate": r"""
         WITH doc AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

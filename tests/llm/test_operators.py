@@ -195,6 +195,17 @@ def test_urls(spark):
     assert split == {i: v[3] for i, v in got.items()}
 
 
+def test_urls_long_repeated_and_none(spark):
+    long = "http://" + "a." * 20_000 + "example.com/de/" + "p" * 50_000
+    rows = spark.createDataFrame([(1, long), (1, long), (2, "http://net/x")], "page_id long, url string")
+    got = rows.select("page_id", url_filter.judged(spark, rows["url"], queries.URL_RULES).alias("j")).collect()
+    assert sorted((r.page_id, r.j.rule, r.j.verdict) for r in got) == [(1, "example.com/de/", "block")] * 2 + [(2, "net/", "block")]
+    assert len(url_filter.probes_of("a." * 20_000 + "b", "/x/", [0, 1], 2)) == 4
+    assert url_filter.probes_of("a.b.c", "/x/", [1], 3) == ["a.b.c/", "b.c/", "c/"] and url_filter.probes_of("a.b.c", "/x/", [1], 2) == ["b.c/", "c/"]
+    empty = rows.limit(0)
+    assert empty.select(url_filter.judged(spark, empty["url"], queries.URL_RULES).alias("j")).count() == 0 and url_filter.filtered(rows, queries.URL_RULES).count() == 0
+
+
 def test_colliding_keys_do_not_match(monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b))
     found = url_filter.DigestArray(url_filter.digest_array([("aa/", "block"), ("bb/", "allow"), ("aa/", "allow")]))
@@ -211,19 +222,25 @@ def test_token_ids_equal_the_tokenizer():
     path = queries.tokenizer_path()
     slow, fast = Tokenizer.from_file(path), packing.encoder(path)
     texts = ["", " ", "Hello  world\n\n\tx", "naïve café 中文 😀", "a<|endoftext|> b", "it's 1234 !!", "x" * 3000, "\u00a0\u3000\x1c z"]
+    rng = random.Random(55)
+    alphabet = [" ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "7", "12", "٣", "Ⅷ", "a", "Ab", "é", "e\u0301", "\u0301", "ß", "中", "न", "😀", "👩‍💻", "'s", "'", "!", "--", "_", "<|endoftext|>", "<|", "\ufffd", "\u200b"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += [" " * 1_000_000 + "a", "x" + "\n " * 100_000 + "b <|endoftext|> c", "a" * 200_000, "!" * 100_000]
     for t in texts:
-        assert list(fast(t)) == slow.encode(t, add_special_tokens=False).ids, t
+        assert list(fast(t)) == slow.encode(t, add_special_tokens=False).ids, t[:200]
 
 
 def test_packed_pieces_are_whole(spark):
-    rows = HARD + [(100 + i, "word " * (i * 37 % 900)) for i in range(120)]
+    from tokenizers import Tokenizer
+
+    rows = HARD + [(100 + i, "word " * (i * 37 % 900)) for i in range(120)] + [(300, " " * 1_000_000 + "a")]
     got = packing.placements(packing.tokenised(docs(spark, rows), queries.tokenizer_path())).collect()
-    encode, by_row, by_sequence = packing.encoder(queries.tokenizer_path()), defaultdict(list), defaultdict(list)
+    slow, by_row, by_sequence = Tokenizer.from_file(queries.tokenizer_path()), defaultdict(list), defaultdict(list)
     for r in got:
         by_row[r.row_id].append(r)
         by_sequence[r.sequence_id].append(r)
     assert len(by_row) == len(rows)
-    left = [list(encode(t or "")) + [0] for _, t in rows]
+    left = [slow.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows]
     for pieces in by_row.values():
         pieces.sort(key=lambda r: r.piece)
         total = sum(r.length for r in pieces)
@@ -385,6 +402,15 @@ def test_tool_calls(spark):
     assert chat_format.formatted(frame.limit(0)).count() == 0
 
 
+def test_turns_beside_tool_messages_are_plain(spark):
+    """Conversation 1 has a tool call; its user's turn is no call of ``reply``, as those of 2 and of no conversation are."""
+    call, result = '{"tool_calls":[{"id":"a","name":"add","arguments":{},"depends_on":[]}]}', '{"tool_call_id":"a","content":"3"}'
+    rows = [(1, 0, "user", "what is it"), (1, 1, "assistant", call), (1, 2, "tool", result), (1, 3, "assistant", "it is 3"), (2, 0, "user", "hi"), (2, 1, "assistant", "x" * 2_000_000), (None, 0, "user", "hi"), (None, 1, "assistant", call)]
+    got = {(r.conv_id, r.turn): (r.kind, r.status) for r in chat_format.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t] for t in range(4)] == [("message", None), ("call", "linked"), ("result", "linked"), ("message", None)]
+    assert [got[2, t] for t in range(2)] == [("call", "linked"), ("result", "linked")] and got[None, 0] == ("call", "unanswered") and got[None, 1] == ("call", "unanswered")
+
+
 # 10 Decontamination
 
 
