@@ -89,5 +89,6 @@ def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
     untouched = keyed.join(marked, same(keyed, marked), "left_anti")
     partly = marked.filter("any_kept")
-    thinned = keyed.join(partly, same(keyed, partly), "left_semi").dropDuplicates(on)
+    # of rows alike in both but not in other columns the first by all columns, so that a repetition keeps the same
+    thinned = keyed.join(partly, same(keyed, partly), "left_semi").groupBy(*on).agg(F.min_by("row", F.to_json("row")).alias("row"))
     return untouched.unionByName(thinned).select("row.*")

@@ -66,9 +66,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = language_id.held_out(docs["doc_id"])
-    found = language_id.predictor(spark, language_model(docs))(docs["text"])
-    return docs.select("doc_id", held.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+    found = language_id.predicted(docs, language_model(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def language_model(docs: DataFrame) -> language_id.Model:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -349,31 +351,79 @@ def test_assigned_secrets(spark):
 # 8 Language
 
 
-def test_language(spark):
+def brute_language(training, asked):
+    """Prediction by plain counting."""
+    counts = {o: defaultdict(lambda: defaultdict(int)) for o in (0, *language_id.ORDERS)}
+    for _, text, lang in training:
+        for w in regex.findall(r"\p{L}+", (text or "").lower()) if lang else ():
+            counts[0][w][lang] += 1
+            for o in language_id.ORDERS:
+                for g in language_id.grams(w, o):
+                    counts[o][g][lang] += 1
+    langs = sorted({lang for _, t, lang in training if lang and t is not None})
+    total = {(o, lang): sum(c[lang] for c in counts[o].values()) for o in counts for lang in langs}
+
+    def score(o, g, lang):
+        return math.log((counts[o][g].get(lang, 0) + 0.5) / (total[o, lang] + 0.5 * (len(counts[o]) + 1)))
+
+    def one(text):
+        found = regex.findall(r"\p{L}+", (text or "").lower())
+        if not found:
+            return "und", 0.0
+        each = []
+        for w in found:
+            for o in (0, *language_id.ORDERS):
+                known = [g for g in ([w] if o == 0 else language_id.grams(w, o)) if g in counts[o]]
+                if known:
+                    each.append([sum(score(o, g, lang) for g in known) / len(known) for lang in langs])
+                    break
+        if not each:
+            return max(langs, key=lambda lang: (total[0, lang], -langs.index(lang))), 1 / len(langs)
+        mean = [language_id.SHARPNESS * sum(e[i] for e in each) / len(each) for i in range(len(langs))]
+        odds = [math.exp(m - max(mean)) for m in mean]
+        return langs[odds.index(1.0)], 1 / sum(odds)
+
+    return [one(t) for t in asked]
+
+
+@pytest.mark.parametrize("hot_words", [1, 50, 200_000])
+def test_language_equals_counting(spark, hot_words):
+    """Whichever words are sent to the tasks."""
     rng = random.Random(8)
-    vocabulary = {"aa": ["kava", "kavi", "kavu", "kata"], "bb": ["mlen", "mlor", "mlun", "mrat"]}
-    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(20)), lang) for i in range(80) for lang in [("aa", "bb")[i % 2]]]
-    model = language_id.fit(docs(spark, rows + [(500, None, "aa"), (501, "x", None)]))
-    asked = [(1, "kava kavi"), (2, "mlen mlor MLUN"), (3, None), (4, "123 !!"), (5, "kavakavi kavata"), (6, "ϖϖϖ"), (7, LONG)]
-    got = {r.doc_id: r.f for r in docs(spark, asked).select("doc_id", language_id.predictor(spark, model)(F.col("text")).alias("f")).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["aa", "bb", "und", "und", "aa"]
-    assert got[6].lang_pred in ("aa", "bb") and got[6].score == 0.5 and got[3].score == 0 and all(0 <= f.score <= 1 for f in got.values())
+    vocabulary = {"aa": ["kava", "kavi", "Kavu", "kata", "ñu", "été"], "bb": ["mlen", "mlor", "mlun", "mrat", "б", "мла"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(20)), lang) for i in range(80) for lang in [("aa", "bb")[i % 2]]] + [(500, None, "aa"), (501, "x", None), (502, "no letter 1", "aa")]
+    model = language_id.fit(docs(spark, rows), hot_words)
+    assert len(model.hot[0]) < max(2, hot_words)
+    asked = [(1, "kava kavi"), (2, "mlen mlor MLUN"), (3, None), (4, "123 !!"), (5, "kavakavi kavata"), (6, "ϖϖϖ"), (7, LONG), (7, LONG), (8, ""), (None, "mlen"), (9, "ÉTÉ ²½ µ ª ß ÿ кмла"), (10, "z" * 100_000), (11, "z m" * 50_000)]
+    got = sorted((r.doc_id or -1, r.lang_pred, round(r.score, 8)) for r in language_id.predicted(docs(spark, asked), model).collect())
+    assert got == sorted((i or -1, lang, round(p, 8)) for (i, _), (lang, p) in zip(asked, brute_language(rows, [t for _, t in asked]), strict=True))
+    assert [lang for i, lang, _ in got if i in (1, 2, 3, 4, 5)] == ["aa", "bb", "und", "und", "aa"]
     kept = language_id.accepted(docs(spark, asked), model)
-    assert kept.columns == docs(spark, []).columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7]
+    assert kept.columns == docs(spark, []).columns and sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 2, 5, 6, 7, 7, 9, 10, 11]
+    assert language_id.predicted(docs(spark, []), model).count() == 0 and language_id.accepted(docs(spark, []), model).count() == 0
+
+
+def test_language_without_training(spark):
     nothing = language_id.fit(docs(spark, []))
-    assert nothing.predict("word", language_id.Memory(nothing)) == ("und", 0.0)
-
-
-def test_language_model_is_filled_and_counts_everywhere(spark):
-    rows = [(1, "both " * 3 + " ".join(f"a{chr(97 + i)}" for i in range(20)), "aa"), (2, "both " + "mine " * 5 + "yours " * 4 + "ours " * 4, "bb")]
-    model = language_id.fit(docs(spark, rows), vocabulary=3, n_grams=4)
-    index, logs = model.tables[0]
-    assert "both" in index and sum(w.startswith("a") for w in index) == 2 and {"mine", "yours", "ours"} <= set(index) and len(index) == 6
-    n = np.exp(logs) * (model.totals + 0.5 * (len(index) + 1)) - 0.5
-    assert np.allclose(n[index["both"]], [3, 1]) and np.allclose(n[index["mine"]], [0, 5])
-    every = spark.createDataFrame([("aa", o, f"g{i}", 1 + i % 2) for o in (0, 5) for i in range(50)], "lang string, ord int, gram string, n long")
-    kept = language_id._most_frequent(every, 40, 10).collect()
-    assert len([r for r in kept if r.ord == 0]) == 40 and sum(r.n == 2 for r in kept if r.ord == 0) == 25 and [r.n for r in kept if r.ord == 5] == [2] * 10
+    assert [tuple(r)[2:] for r in language_id.predicted(docs(spark, [(1, "word")]), nothing).collect()] == [("und", 0.0)]
+
+
+def test_words_are_runs_of_letters():
+    rng = random.Random(88)
+    every = "".join(map(chr, range(256)))
+    for t in [every, *["".join(rng.choice(every + "“’—żИ中") for _ in range(50)) for _ in range(500)]]:
+        assert language_id.words(t) == regex.findall(r"\p{L}+", t.lower()), t
+
+
+def test_language_query(spark, sf):
+    """Against plain counting, whole; held-out documents are predicted well."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    want = brute_language([r for r in rows if not held[r[0]]], [t for _, t, _ in rows])
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 8)) for r in queries.op8_language_id(spark, sf).collect())
+    assert got == sorted((i, held[i], lang, round(p, 8)) for (i, *_), (lang, p) in zip(rows, want, strict=True))
+    tested = [(lang, found) for (i, t, lang), (found, _) in zip(rows, want, strict=True) if held[i] and lang and found != "und"]
+    assert np.mean([a == b for a, b in tested]) > 0.9
 
 
 # 9 Chat formatting
