@@ -482,12 +482,16 @@ def brute_hits(text, items, window):
 def test_exact_phrases(spark, item_block, monkeypatch):
     monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 50)
     rng = random.Random(10)
-    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for i in range(40)] + [r for r in HARD if r[0]] + [(60, "A b C, a-b c!"), (61, "ä ö ü")]
+    texts = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for i in range(40)] + HARD + [(60, "A b C, a-b c!"), (61, "ä ö ü")]
     items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))) for k in range(6)] + [(7, None), (8, "..."), (None, "a b"), (9, "Ä ö"), (9, "ä Ö ü"), (2, "c c a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.report(decontaminate.matches(docs(spark, texts), bench, window=4, item_block=item_block)).collect()
     usable = [(i, t) for i, t in items if i is not None]
-    assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i, *brute_hits(t, usable, 4)) for i, t in texts)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, r["items"]) for r in got) == sorted((i or -1, *brute_hits(t, usable, 4)) for i, t in texts)
+    segments = decontaminate.index(docs(spark, texts))  # of all words, for any block of items
+    vocabulary = sorted({w for _, t in texts for w in decontaminate.words(t)})
+    assert decontaminate.term_counts(segments, vocabulary).sum() == sum(len(decontaminate.words(t)) for _, t in texts)
+    assert decontaminate.term_counts(segments, [b"a", b"never"]).tolist() == [sum(decontaminate.words(t).count(b"a") for _, t in texts), 0]
 
 
 def test_proximity(spark):
