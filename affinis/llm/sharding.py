@@ -7,16 +7,17 @@ demands, a minimum-cost flow gives the bytes that go from each old shard to each
 and so the fewest that have to move.
 
 Bytes move in blocks: runs of consecutive rows of a file, about ``BLOCKS`` of them
-in all whatever the input's size (single rows if there are fewer), so that sizes meet the
-flow to within a block, and exchanges of blocks then even out what rounding left. Blocks
-are known by file and row position, so rows find their shard and slot without a shuffle or
+in all whatever the input's size (single rows if there are fewer), so that sizes meet the flow to within a block, and exchanges of blocks then even out what rounding left: new shards of equal
+capacity are at most one block apart (1/BLOCKS of the bytes, or the largest row if that is more), and
+usually within a byte. Blocks are known by file and row position, so rows find their shard and slot without a shuffle or
 a sort. Only files that lose a block, or that arrive at a shard which needs a new slot order,
 are rewritten; the others are referred to in the manifest.
 
 Law: ``bytes`` (sizes of the new shards near equal).
 
 Defined cases: a null text counts as no bytes and has the CRC of no bytes; each row adds
-one byte; a row's other columns, whatever their names, go along in the struct ``row``. An
+one byte; repeated rows, rows of equal size and rows without doc_id are placed by file and position, each by
+itself; a text of any length is one row and never cut; a row's other columns, whatever their names, go along in the struct ``row``. An
 empty table gives empty shards.
 """
 
@@ -84,28 +85,34 @@ def equal_capacities(total: int, shards: int) -> np.ndarray:
 
 
 def assign_blocks(old: np.ndarray, size: np.ndarray, home: np.ndarray, capacity: np.ndarray) -> np.ndarray:
-    """The new shard of each block (its old shard and bytes): blocks follow the minimum-cost flow."""
-    n_old, n_new = len(home), len(capacity)
-    supply = np.bincount(old, weights=size, minlength=n_old).astype(np.int64)
-    cost = (np.arange(n_new)[None, :] != home[:, None]).astype(float)
-    left = min_cost_flow(supply, capacity, cost)
+    """The new shard of each block (its old shard and bytes): blocks follow the minimum-cost flow.
+
+    Old shards of one home have the same costs, so they are one source of the flow, which has as
+    many sources as new shards however many files there are. The blocks of a home, file by file,
+    stay until its flow to itself is used up, and the rest goes where its other flows say, so
+    few files lose a block; at each change of target at most half a block is rounded."""
+    n_new = len(capacity)
+    of_home = home[old]
+    supply = np.bincount(of_home, weights=size, minlength=n_new).astype(np.int64)
+    here = np.arange(n_new)
+    flow = min_cost_flow(supply, capacity, (here[None, :] != here[:, None]).astype(float))
     shard = np.empty(len(old), np.int64)
-    for block in np.lexsort([np.arange(len(old)), -size, old]):  # large blocks first
-        i = old[block]
-        j = int(left[i].argmax())
-        shard[block] = j
-        left[i, j] -= size[block]
-        if left[i, j] < 0:  # what is too much here is taken off the rest of this old shard's flows
-            rest = np.delete(np.arange(n_new), j)
-            most = rest[left[i, rest].argmax()]
-            left[i, most] += left[i, j]
-            left[i, j] = 0
+    for h in range(n_new):
+        mine = np.flatnonzero(of_home == h)
+        mine = mine[np.argsort(old[mine], kind="stable")]
+        targets = np.r_[h, np.delete(here, h)]
+        middle = np.cumsum(size[mine]) - size[mine] / 2
+        at = np.searchsorted(np.cumsum(flow[h][targets]), middle, side="right")
+        shard[mine] = targets[np.minimum(at, np.flatnonzero(flow[h][targets])[-1])] if len(mine) else 0
     _even_out(shard, size, capacity)
     return shard
 
 
 def _even_out(shard: np.ndarray, size: np.ndarray, capacity: np.ndarray) -> None:
-    """Moves a block, or exchanges two, between the fullest and the emptiest shard while that evens them out."""
+    """Moves a block, or exchanges two, between the fullest and the emptiest shard while that evens them out.
+
+    While the two are more than the largest block apart, moving a block helps; rounding leaves each shard
+    within as many blocks as there are shards, so far fewer than EXCHANGES steps bring all within one block."""
     for _ in range(EXCHANGES):
         over = np.bincount(shard, weights=size, minlength=len(capacity)).astype(np.int64) - capacity
         a, b = int(over.argmax()), int(over.argmin())
@@ -150,7 +157,6 @@ def _located(spark: SparkSession, path: str, rows_per_block: int) -> DataFrame:
     return df.select(
         F.struct(*[df[c] for c in df.columns]).alias("row"),
         F.xxhash64(meta["file_path"]).alias("file"),
-        meta["file_path"].alias("path"),
         F.floor(place / rows_per_block).cast("long").alias("block"),
         (place % rows_per_block).alias("within"),
     )
@@ -160,12 +166,17 @@ def plan(spark: SparkSession, path: str, shards: int = SHARDS, capacities: np.nd
     """Sizes of blocks come to the driver (at most ``blocks`` and one per file), which solves the flow."""
     rows_per_block = max(1, -(-spark.read.parquet(path).count() // blocks))
     located = _located(spark, path, rows_per_block)
-    sizes = located.groupBy("path", "file", "block").agg(F.sum(byte_size(F.col("row.text"))).alias("size"), F.count("*").alias("n"))
-    found = sizes.toPandas().sort_values(["path", "block"], ignore_index=True)
-    old, files = pd.factorize(found["path"])  # sorted, so numbered by name
-    size = found["size"].to_numpy(np.int64)
+    sizes = located.groupBy("file", "block").agg(F.sum(byte_size(F.col("row.text"))).alias("size"), F.count("*").alias("n"))
+    found = sizes.toPandas()
+    table = spark.read.parquet(path)
+    meta = table.metadataColumn("_metadata")["file_path"]
+    names = table.select(F.xxhash64(meta).alias("file"), meta.alias("path")).distinct().collect()  # a row per file, as in the listing that the driver has
+    number = {r["file"]: i for i, r in enumerate(sorted(names, key=lambda r: r["path"]))}
+    found["old"] = found["file"].map(number).astype("int64")
+    found = found.sort_values(["old", "block"], ignore_index=True)
+    old, size = found["old"].to_numpy(), found["size"].to_numpy(np.int64)
     total = int(size.sum())
-    home = np.arange(len(files)) % shards
+    home = np.arange(len(number)) % shards
     capacity = equal_capacities(total, shards) if capacities is None else capacities
     shard = assign_blocks(old, size, home, capacity) if len(found) else np.zeros(0, np.int64)
     found["shard"] = shard
