@@ -13,13 +13,13 @@ it missed would be shuffled and still be right.
 
 Defined cases: a null text counts as empty, so null, empty and white-space-only texts are
 one group. Of rows that tie in length and doc_id exactly one is kept; a null doc_id counts
-as larger than any other. Further columns of the input are not looked at. An empty table
+as larger than any other. Texts of any length are hashed whole. Further columns of the input are not looked at. An empty table
 gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm._shared import HOT_SHARE, keep_rows, staged, text_key
@@ -71,9 +71,10 @@ def groups(docs: DataFrame) -> DataFrame:
     # the filter holds for fewer than HOT_SHARE digests, whatever n is
     hot = staged(counted.filter(F.col("group_size") * HOT_SHARE > n), "hot_digests")
     heavy = rows.join(F.broadcast(hot), "digest")
-    group = Window.partitionBy("digest")
     light = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
-    light = light.withColumns({"best": F.min("rank").over(group), "group_size": F.count("*").over(group)})
+    # a grouped minimum is summed map-side, and its staged rows say how large a join is
+    winners = staged(light.groupBy("digest").agg(F.min("rank").alias("best"), F.count("*").alias("group_size")), "winners")
+    light = light.join(winners, "digest")
     return heavy.unionByName(light).select(
         "doc_id", "text_key", "digest", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rank") == F.col("best")).alias("kept")
     )
