@@ -6,10 +6,12 @@ encoded by a learned layer. Gated attention (tanh times sigmoid) weighs the enco
 passages of a document, and the document's label alone trains encoder, attention and output
 together. The score is the sigmoid of the output on the attention-weighted mean.
 
-The classifier is fitted on at most about ``SAMPLE`` labelled training documents, chosen by
-hash of their ids, whose whole texts are encoded; every passage of every document is scored.
+The classifier is fitted on a bounded sample of labelled training documents: those first by hash of
+their ids, about ``SAMPLE`` of them and, taken in that order, of ``SAMPLE_BYTES`` bytes of text
+in all. Their whole texts are encoded; every passage of every document is scored.
 
-Defined cases: a null or wordless text is one empty passage; labels that are null are not
+Defined cases: a null or wordless text is one empty passage; texts of any length are scored whole, and
+repeated rows and rows without doc_id like others; an empty table gives no rows; labels that are null are not
 used; a document with two different labels counts once for each, and of rows that share a
 doc_id one is learned from; without labels, or with one class
 only, the score is the share of label 1 (0.5 without labels). Other columns are not looked at.
@@ -25,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm._shared import small_batches
+from affinis.llm._shared import small_batches, staged
 
 PASSAGE = 64
 SAMPLE = 4000
+#: Bytes of text in the sample; a labelled document that alone has more is scored, but not learned from.
+SAMPLE_BYTES = 64_000_000
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, RATE, DECAY = 30, 0.01, 1e-4
 HASHED = 32
@@ -163,11 +167,25 @@ def sampled_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | Constant:
+def _within_bytes(sizes: list, most: int) -> set[int]:
+    """The doc_ids, by hash, whose texts fit into ``most`` bytes together."""
+    taken, total = set(), 0
+    for doc_id, size in sorted(sizes, key=lambda r: (xxhash.xxh64_intdigest(str(r[0])), r[0])):
+        if total + size <= most:
+            taken.add(doc_id)
+            total += size
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network | Constant:
     """Fits on the documents whose doc_id is in labels (doc_id, label)."""
-    chosen = F.broadcast(sampled_labels(labels, sample).withColumnRenamed("doc_id", "labelled"))
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    chosen = staged(sampled_labels(labels, sample).withColumnRenamed("doc_id", "labelled"), "labels")  # about ``sample`` rows
+    small_batches(spark)
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    sizes = narrow.join(F.broadcast(chosen), narrow["doc_id"] == chosen["labelled"]).groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    taken = spark.createDataFrame([(i,) for i in _within_bytes(sizes.collect(), sample_bytes)], "labelled long")
+    chosen = F.broadcast(chosen.join(F.broadcast(taken), "labelled", "left_semi"))
     texts = narrow.join(chosen, narrow["doc_id"] == chosen["labelled"]).select("doc_id", "label", "text")
     encoded = texts.mapInArrow(_encoded, "doc_id long, label int, features binary")
     rows = encoded.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values(["doc_id", "label"], ignore_index=True)
