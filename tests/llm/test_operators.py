@@ -53,6 +53,41 @@ def test_flow_is_cheapest():
         assert (flow * cost).sum() == best
 
 
+def test_many_files_are_one_flow():
+    """The merged flow costs what the whole one does, blocks come within one block of it, and few files lose one."""
+    rng = np.random.default_rng(3)
+    for n_old, n_new in ((1, 8), (5, 3), (40, 4), (3, 8)):
+        supply = rng.integers(0, 50, n_old)
+        home = np.arange(n_old) % n_new
+        capacity = sharding.equal_capacities(int(supply.sum()), n_new)
+        cost = (np.arange(n_new)[None, :] != home[:, None]).astype(float)
+        whole = (sharding.min_cost_flow(supply, capacity, cost) * cost).sum()
+        merged, here = np.bincount(home, weights=supply, minlength=n_new), np.arange(n_new)
+        far = (here[None, :] != here[:, None]).astype(float)
+        assert (sharding.min_cost_flow(merged, capacity, far) * far).sum() == whole
+        old = np.repeat(np.arange(n_old), supply)  # blocks of a byte meet the flow exactly
+        shard = sharding.assign_blocks(old, np.ones(len(old), np.int64), home, capacity)
+        assert (shard != home[old]).sum() == whole and (np.bincount(shard, minlength=n_new) == capacity).all()
+    old = np.repeat(np.arange(100_000), 2)
+    size = rng.integers(1, 10_000, len(old))
+    capacity = sharding.equal_capacities(int(size.sum()), 8)
+    shard = sharding.assign_blocks(old, size, np.arange(100_000) % 8, capacity)
+    sizes = np.bincount(shard, weights=size, minlength=8)
+    assert sizes.max() - sizes.min() <= size.max()
+
+
+def test_reshard_joins_a_long_block_map(spark, tmp_path, monkeypatch):
+    """The block map beyond MAP_ROWS is not broadcast; results are the same."""
+    docs(spark, HARD + [(100 + i, "t" * i) for i in range(50)]).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def rows():
+        return sorted((r.doc_id or -1, r.size, r.shard, r.slot) for r in queries.op1_sharding(spark, str(tmp_path)).collect())
+
+    sent = rows()
+    monkeypatch.setattr(sharding, "MAP_ROWS", 0)
+    assert rows() == sent and sorted({r[2] for r in sent}) == list(range(8))
+
+
 def test_reshard_moves_little_and_keeps_rows(spark, tmp_path):
     rows = [(i, "t" * (i % 50)) for i in range(400)]
     for k in range(4):
@@ -157,6 +192,29 @@ def test_quality_learns_and_scores_everything(spark):
     assert none.score([np.zeros((1, quality.FEATURES))]).tolist() == [0.5]
 
 
+def test_quality_sample_is_bounded_in_bytes(spark):
+    assert quality._within_bytes([(1, 60), (2, 50), (3, 30), (4, 500), (5, 0)], 100) in ({1, 3, 5}, {2, 3, 5}) and quality._within_bytes([], 5) == set()
+    rows = [(i, "good words here " * 3 if i % 2 else "%% " * 9) for i in range(40)] + [(99, "%% " * 100_000)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in [*range(40), 99]], "doc_id long, label int")
+    model = quality.fit(docs(spark, rows), labels, sample_bytes=10_000)  # without the long one
+    got = docs(spark, rows).select("doc_id", quality.scorer(spark, model)(F.col("text")).alias("p")).collect()
+    assert len(got) == 41 and all((r.p >= 0.5) == (r.doc_id % 2 == 1) for r in got if r.doc_id < 40)
+    assert docs(spark, []).select(quality.scorer(spark, model)(F.col("text")).alias("p")).count() == 0
+
+
+def test_quality_query(spark, tmp_path, sf):
+    """Columns follow from the model's scores of whole texts; documents that no training label names are scored too."""
+    source, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in source.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    training = labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(source, training)
+    got = {r.doc_id: r for r in queries.op3_quality(spark, sf).collect()}
+    assert got.keys() == texts.keys() and all(got[i].held_out == held[i] for i in texts)
+    for i, t in texts.items():
+        assert got[i].score == pytest.approx(float(model.score([quality.passages(t)])[0]), abs=1e-6) and got[i].predicted == int(got[i].score >= 0.3) and 0 <= got[i].score <= 1
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = quality.Network(6)
