@@ -3,17 +3,19 @@
 Each text becomes a 64-bit fingerprint; fingerprints with at most ``RADIUS`` differing
 bits are linked, and documents are grouped by reachability over links.
 
-Tables of Hamming distances from fingerprints to ``PIVOTS`` fixed reference fingerprints are
-computed where fingerprints meet, anew for each key and each pair of chunks, and are not
-stored: recomputing is what keeps them out of the shuffle of the keys. By the triangle inequality two fingerprints within
-RADIUS bits differ by at most RADIUS in every coordinate, so a pair whose largest
-coordinate difference is greater is discarded unseen; the survivors are verified on the
-fingerprints themselves.
-
-Which pairs are put to that test is bounded without loss: the 64 bits are cut into
-``BLOCKS`` blocks, RADIUS differing bits leave at least BLOCKS - RADIUS blocks untouched,
-so linked fingerprints meet under the key of some choice of BLOCKS - RADIUS blocks. Rows
-are distinct fingerprints, however many copies they stand for. A key with more than
+A table of Hamming distances from every distinct fingerprint to ``PIVOTS`` fixed reference
+fingerprints is computed once and stored with the fingerprints. By the triangle inequality two
+fingerprints within RADIUS bits differ by at most RADIUS in every coordinate of that table, so a
+pair whose largest coordinate difference is greater is discarded unseen; the survivors are
+verified on the fingerprints themselves.
+
+Which pairs are put to that test is bounded without loss: the 64 bits are cut into blocks,
+RADIUS differing bits leave at least (blocks - RADIUS) blocks untouched, so linked fingerprints
+meet under the key of some choice of so many blocks. Distances to a pivot cannot form the pairs by
+themselves: those of 64-bit fingerprints concentrate around 32, and a coordinate tells apart fewer
+than half of all pairs, so that meeting by coordinates would take a look at all. The more blocks,
+the more and the longer the keys; ``blocks_for`` takes as few as keep keys of strangers small.
+Rows are distinct fingerprints, however many copies they stand for. A key with more than
 ``CHUNK`` fingerprints is cut into chunks, and pairs of chunks are compared in tasks of
 their own; no link is lost and no list of pairs is made, as each task returns only a
 spanning forest of the links it found.
@@ -21,7 +23,7 @@ spanning forest of the links it found.
 Defined cases: null, empty and white-space-only texts have fingerprint zero and are linked
 like any other; texts of fewer than four words have one shingle, the whole sequence. Null
 doc_ids are grouped with the others, but a component_id is null only if no row of the
-component has a doc_id. Repeated rows are all returned. Other columns are not looked at.
+component has a doc_id. Repeated rows are all returned. Texts of any length are read whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,9 +42,8 @@ WORDS = 4
 SEED = 42
 RADIUS = 4
 PIVOTS = 24
-#: 7 blocks of 9 or 10 bits give 35 keys of 27 or 28 bits, enough for 10^8 distinct
-#: fingerprints; more of them call for 8 or 9 blocks (70 or 126 longer keys).
-BLOCKS = 7
+#: Fingerprints that may meet under a key by chance.
+STRANGERS = 8
 CHUNK = 2048
 SALTS = 8
 #: Words hashed at a time, so that a text of any length needs bounded memory.
@@ -95,7 +96,33 @@ def pivot_table(prints: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
+#: Eight coordinates are kept in a long.
+COORDINATES = [f"c{i}" for i in range(-(-PIVOTS // 8))]
+
+
+def _coordinates(batches):
+    pivots = reference_fingerprints(8 * len(COORDINATES))
+    for batch in batches:
+        fp = batch.column("fp").to_numpy()
+        packed = np.ascontiguousarray(pivot_table(fp.view(np.uint64), pivots)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp), *[pa.array(np.ascontiguousarray(c)) for c in packed.T]], ["fp", *COORDINATES])
+
+
+def with_coordinates(prints: DataFrame) -> DataFrame:
+    """fp (distinct fingerprints) with its row of the pivot table, packed."""
+    return prints.select("fp").mapInArrow(_coordinates, ", ".join(f"{c} long" for c in ("fp", *COORDINATES)))
+
+
+def _unpacked(columns) -> np.ndarray:
+    return np.stack(columns, axis=1).view(np.int8)
+
+
+def blocks_for(n: int, radius: int = RADIUS, strangers: int = STRANGERS) -> int:
+    """The fewest blocks whose keys are long enough that n random fingerprints fill them with ``strangers`` each."""
+    return next(b for b in range(radius + 1, 65) if b == 64 or n <= strangers * 2 ** (64 * (b - radius) / b))
+
+
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
     """A bit mask for each choice of ``blocks - radius`` of the blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     block = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
@@ -106,12 +133,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _linked(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs of positions a and b those that are linked."""
+def _linked(prints: np.ndarray, table: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, seen: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of positions a and b those that are linked. ``seen`` takes the numbers of pairs
+    that met, that the pivots left, and that are linked."""
+    met = len(a)
     for column in table.T:  # the largest coordinate difference, coordinate by coordinate
         near = np.abs(column[a] - column[b]) <= radius
         a, b = a[near], b[near]
     near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
+    if seen is not None:
+        seen.append((met, len(a), int(near.sum())))
     return a[near], b[near]
 
 
@@ -134,25 +165,23 @@ def _forest(prints: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarra
     return prints[nodes[child]], prints[nodes[label[child]]]
 
 
-KEYED = "table int, key long, fp long"
-FOUND = "a long, b long, table int, key long, chunk int"
+FOUND = "a long, b long, table int, key long, chunk int, " + ", ".join(f"{c} long" for c in COORDINATES)
 
 
-def _rows(a, b, table=None, key=None, chunk=None):
+def _rows(a, b, table=None, key=None, chunk=None, coordinates=None):
     n = len(a)
     columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64())] if b is not None else [pa.array(a, pa.int64()), pa.nulls(n, pa.int64())]
-    more = [(table, pa.int32()), (key, pa.int64()), (chunk, pa.int32())]
+    more = [(table, pa.int32()), (key, pa.int64()), (chunk, pa.int32()), *[(c, pa.int64()) for c in coordinates or [None] * len(COORDINATES)]]
     columns += [pa.nulls(n, t) if x is None else pa.array(np.full(n, x) if np.isscalar(x) else x, t) for x, t in more]
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "table", "key", "chunk"])
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in FOUND.split(", ")])
 
 
-def _within_keys(radius: int, chunk: int):
-    """Maps rows sorted by (table, key) to links within each key, or, for a key of more than
+def _within_keys(radius: int, chunk: int, seen: list | None = None):
+    """Maps rows (table, key, fp, coordinates) sorted by (table, key) to links within each key, or, for a key of more than
     ``chunk`` rows, to its rows with chunk numbers."""
 
-    def links(table, key, fp):
+    def links(table, key, fp, *packed):
         """Of whole keys with at most ``chunk`` rows each."""
-        pivots = reference_fingerprints()
         starts = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
         sizes = np.diff(np.r_[starts, len(fp)])
         starts, sizes = starts[sizes > 1], sizes[sizes > 1]
@@ -162,13 +191,13 @@ def _within_keys(radius: int, chunk: int):
         prints = fp[rows].view(np.uint64)
         ends = np.repeat(np.cumsum(sizes), sizes)  # of a row's key, among the rows
         after = ends - np.arange(len(rows)) - 1  # rows of the key after this one
-        coordinates = pivot_table(prints, pivots)
+        coordinates = _unpacked([c[rows] for c in packed])
         found_a, found_b, at = [], [], 0
         while at < len(rows):  # about a million pairs at a time
             upto = max(at + 1, int(np.searchsorted(np.cumsum(after[at:]), 1_000_000)) + at)
             a = np.repeat(np.arange(at, upto), after[at:upto])
             b = a + 1 + _ramp(after[at:upto])
-            a, b = _linked(prints, coordinates, a, b, radius)
+            a, b = _linked(prints, coordinates, a, b, radius, seen)
             found_a.append(a)
             found_b.append(b)
             at = upto
@@ -183,10 +212,11 @@ def _within_keys(radius: int, chunk: int):
         large: tuple | None = None  # the key that is being passed on in chunks
         passed = 0
         for batch in batches:
-            new = tuple(batch.column(i).to_numpy() for i in range(3))
+            new = tuple(batch.column(i).to_numpy() for i in range(3 + len(COORDINATES)))
             if not len(new[0]):
                 continue
-            table, key, fp = (np.concatenate(x) for x in zip(*held, new, strict=True)) if held else new
+            every = [np.concatenate(x) for x in zip(*held, new, strict=True)] if held else new
+            table, key, fp, *packed = every
             held = []
             last = int(np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])[-1])
             starts = np.flatnonzero(np.r_[True, (table[1:] != table[:-1]) | (key[1:] != key[:-1])])
@@ -198,14 +228,14 @@ def _within_keys(radius: int, chunk: int):
                     if not continues:
                         large, passed = (table[s], key[s]), 0
                     number = (passed + np.arange(e - s)) // chunk
-                    yield _rows(fp[s:e], None, table[s], key[s], number)
+                    yield _rows(fp[s:e], None, table[s], key[s], number, [c[s:e] for c in packed])
                     passed += e - s
                     small[s:e] = False
             if small[last]:  # may go on in the next batch
-                held = [(table[last:], key[last:], fp[last:])]
+                held = [tuple(c[last:] for c in every)]
                 small[last:] = False
             if small.any():
-                out = links(table[small], key[small], fp[small])
+                out = links(*[c[small] for c in every])
                 if out is not None:
                     yield out
         if held:
@@ -224,12 +254,12 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
 
 def _between_chunks(radius: int):
     def run(key, rows):
-        pivots = reference_fingerprints()
-        side, fp = rows.column("side").to_numpy(), rows.column("fp").to_numpy()
-        left, right = fp[side == 0].view(np.uint64), fp[side == 1].view(np.uint64)
-        same = not len(right)  # a chunk with itself
-        both = np.concatenate([left, right])
-        coordinates = pivot_table(both, pivots)
+        side = rows.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        both = rows.column("fp").to_numpy()[order].view(np.uint64)
+        left = both[: int((side == 0).sum())]
+        same = len(left) == len(both)  # a chunk with itself
+        coordinates = _unpacked([rows.column(c).to_numpy()[order] for c in COORDINATES])
         found_a, found_b = [], []
         for i in range(len(left)):
             b = np.arange(i + 1, len(left)) if same else np.arange(len(left), len(both))
@@ -242,15 +272,15 @@ def _between_chunks(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints (column fp) whose connected components are those of all links."""
+def links(table: DataFrame, radius: int = RADIUS, blocks: int = 7, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) over distinct fingerprints with their coordinates, whose connected components are those of all links."""
     masks = block_masks(blocks, radius)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")) for m in masks])
-    keyed = prints.select("fp", F.posexplode(keys).alias("table", "key")).select("table", "key", "fp")
+    keyed = table.select("fp", *COORDINATES, F.posexplode(keys).alias("table", "key")).select("table", "key", "fp", *COORDINATES)
     sorted_ = keyed.repartition("table", "key").sortWithinPartitions("table", "key")
     found = staged(sorted_.mapInArrow(_within_keys(radius, chunk), FOUND), "links_within_keys")
     inner = found.filter("b is not null").select("a", "b")
-    large = found.filter("b is null").select(F.col("a").alias("fp"), "table", "key", "chunk")
+    large = found.filter("b is null").select(F.col("a").alias("fp"), "table", "key", "chunk", *COORDINATES)
     chunks = large.select("table", "key", "chunk").distinct()
     left, right = chunks.withColumnRenamed("chunk", "i"), chunks.withColumnRenamed("chunk", "j")
     tasks = left.join(right, ["table", "key"]).filter("i <= j")  # of chunks, not of rows
@@ -300,12 +330,13 @@ def _same(old: DataFrame, new: DataFrame) -> bool:
     return state(old) == state(new)
 
 
-def groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """One row per input row: doc_id, text_key, fp, component_id and kept (true for one row of a component)."""
     rows = staged(fingerprints(docs).withColumn("row_id", F.monotonically_increasing_id()), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_id"))
     prints = staged(rows.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
-    found = staged(components(links(prints.select("fp"), radius, blocks, chunk)), "components")
+    table = staged(with_coordinates(prints), "pivot_table")
+    found = staged(components(links(table, radius, blocks or blocks_for(table.count(), radius), chunk)), "components")
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     least = prints.join(members, prints["fp"] == members["node"]).groupBy("root").agg(F.min("first").alias("m"))
     labels = _salted(members.select(F.col("root").alias("a"), F.col("node").alias("b")), least.withColumnRenamed("root", "a"))

@@ -145,8 +145,19 @@ def test_fingerprints(spark):
     assert got == sorted((i or -1, brute_print(t)) for i, t in HARD)
 
 
-@pytest.mark.parametrize("chunk", [5, 2048])
-def test_links_lose_no_component(spark, chunk):
+def test_pivot_table_is_stored():
+    prints = np.random.default_rng(4).integers(-(2**63), 2**63 - 1, 50)
+    import pyarrow as pa
+
+    [batch] = simhash._coordinates([pa.RecordBatch.from_arrays([pa.array(prints)], ["fp"])])
+    got = simhash._unpacked([batch.column(c).to_numpy() for c in simhash.COORDINATES])
+    assert (got == simhash.pivot_table(prints.view(np.uint64), simhash.reference_fingerprints())).all()
+    assert got[3, 5] == bin(int(prints[3]) % 2**64 ^ int(simhash.reference_fingerprints()[5])).count("1")
+    assert [simhash.blocks_for(n) for n in (0, 10_000, 10**6, 10**8, 10**10)] == [5, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize(("chunk", "blocks"), [(5, 7), (2048, 7), (5, 5), (2048, 6)])
+def test_links_lose_no_component(spark, chunk, blocks):
     """A dense ball, chains and strangers, with keys that hold more than one chunk."""
     rng = random.Random(3)
     centre = rng.getrandbits(64)
@@ -155,7 +166,7 @@ def test_links_lose_no_component(spark, chunk):
         prints.append(prints[-1] ^ sum(1 << b for b in rng.sample(range(64), 4)))
     prints = sorted(set(prints))
     frame = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in prints], "fp long")
-    found = simhash.components(simhash.links(frame, chunk=chunk)).collect()
+    found = simhash.components(simhash.links(simhash.with_coordinates(frame), blocks=blocks, chunk=chunk)).collect()
     label = {r.node: r.root for r in found}
     ids = [x - 2**64 if x >> 63 else x for x in prints]
     assert [label.get(i, i) for i in ids] == brute_components(prints, ids)
