@@ -1,9 +1,13 @@
-"""Retrieval: candidates of all queries in one plan.
+"""Retrieval: ranked candidates of all queries.
 
 Query keys meet postings, scores add up per query, channel and candidate; queries with
 few candidates get those of the phonetic channel, and of character TF-IDF if there are still
 few. Each channel passes its best candidates on, ranked with the context score of the pair,
 and the union is ranked by the sum.
+
+``retrieve`` does this by blocks of queries (see ``search``), which makes no row of a pair that
+isn't ranked. ``retrieve_pairs`` is the same as a plan over pairs, step by step; it is used where all
+pairs are asked for, and for the few queries that character TF-IDF steps in for.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from affinis.functions import similarity as S
 from affinis.functions.constants import CHANNELS, FALLBACK_BELOW
 from affinis.operators import blocking as B
+from affinis.operators import search as SR
+from affinis.sources.staging import staged
 
 DIGITS = 9
 CONTEXT_FIELDS = ["country", "name_words", "address_words", "city_words", "postals", "house_base"]
@@ -89,6 +95,17 @@ def rank(selected: DataFrame, how: B.Blocking) -> DataFrame:
 def retrieve(queries: DataFrame, targets: DataFrame, how: B.Blocking = B.DEFAULT, max_candidates: int = 25, semantic=None) -> DataFrame:
     """Ranked candidates (profiles in, one row per pair out). ``semantic``, if given, maps the
     frame of sparse query_ids to scores of the channel name_tfidf."""
+    ranked = SR.by_blocks(queries, targets, how, max_candidates)
+    if semantic is None:
+        return ranked.drop("found")
+    ranked = staged(ranked)
+    enough = ranked.filter(F.col("found") >= FALLBACK_BELOW)
+    few = queries.join(enough.select(F.col("query_id").alias("entity_id")).distinct(), "entity_id", "left_anti")
+    return enough.drop("found").unionByName(retrieve_pairs(few, targets, how, max_candidates, semantic))
+
+
+def retrieve_pairs(queries: DataFrame, targets: DataFrame, how: B.Blocking = B.DEFAULT, max_candidates: int = 25, semantic=None) -> DataFrame:
+    """The same with a row for every pair that shares a key."""
     target_keys = B.keys(targets, how)
     posted = B.postings(target_keys, B.key_frequencies(target_keys), how)
     documents = targets.agg(F.count("*").alias("documents"))

@@ -39,3 +39,8 @@ def once(spark: SparkSession, key: tuple, build) -> DataFrame:
         build().write.parquet(path)
         _MADE[full] = path
     return spark.read.parquet(_MADE[full])
+
+
+def forget() -> None:
+    """The next use of each key builds its table anew."""
+    _MADE.clear()
