@@ -55,7 +55,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, ("profiles", sf_dir), lambda: P.profile(X.records(spark, sf_dir, extra=True)))
+    return once(spark, ("profiles", sf_dir), lambda: P.profile(spread(X.records(spark, sf_dir, extra=True))))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The derived records come from one small file, so from a few tasks; parsing them takes all cores."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +91,7 @@ def graph_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         s2 = X.records(spark, sf_dir).filter("entity_id like 'S2-%'")
         copies = s2.filter("entity_id like 'S2-%' and entity_id not like 'S2-D%' and cast(substr(entity_id, 4) as bigint) % 3 < 2")
         copies = copies.withColumn("entity_id", F.concat(F.lit("S3-"), F.substr("entity_id", F.lit(4))))
-        return P.profile(s2.unionByName(copies))
+        return P.profile(spread(s2.unionByName(copies)))
 
     return once(spark, ("graph_targets", sf_dir), build)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -130,17 +131,22 @@ def edit_similarities(variants_a: Column, variants_b: Column, address_a: Column,
     return F.arrow_udf(_edits, EDITS)(variants_a, variants_b, address_a, address_b)
 
 
+@lru_cache(maxsize=100_000)
+def _name_edits(va: tuple[str, ...], vb: tuple[str, ...]) -> tuple[float, ...]:
+    """Of two records' name variants; the same names meet in many pairs."""
+    a, b = va[0] if va else "", vb[0] if vb else ""
+    wa, wb = a.split(), b.split()
+    best = 0.0
+    for x in va:
+        for y in vb:
+            sx, sy = set(x.split()), set(y.split())
+            best = max(best, len(sx & sy) / len(sx | sy), indel_ratio(x, y))
+    return indel_ratio(a, b), jaro_winkler(a, b), indel_ratio(" ".join(sorted(wa)), " ".join(sorted(wb))), order_similarity(wa, wb), best
+
+
 def _edits(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for columns in batches:
-        out: list[tuple] = []
-        for va, vb, aa, ab in zip(*(c.to_pylist() for c in columns), strict=True):
-            a, b = (v[0] if v else "" for v in (va, vb))
-            wa, wb = a.split(), b.split()
-            best = 0.0
-            for x in va or ():
-                for y in vb or ():
-                    sx, sy = set(x.split()), set(y.split())
-                    best = max(best, len(sx & sy) / len(sx | sy), indel_ratio(x, y))
-            out.append((indel_ratio(a, b), jaro_winkler(a, b), indel_ratio(" ".join(sorted(wa)), " ".join(sorted(wb))), order_similarity(wa, wb), best, indel_ratio(aa or "", ab or "")))
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        out = [(*_name_edits(tuple(va or ()), tuple(vb or ())), indel_ratio(aa or "", ab or "")) for va, vb, aa, ab in rows]
         names = [f.split()[0] for f in EDITS.split(", ")]
         yield pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in (zip(*out, strict=True) if out else [()] * 6)], names)
