@@ -1,8 +1,9 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
 Candidates are runs of 16 or more letters, digits and ``+/_=-`` with a digit among them, and
-whatever is assigned to a name with a secret word in it, however short and without digits. A
-run is split at its signs of assignment: ``name=`` belongs to the text before the value, while
+whatever is assigned to a name with a secret word in it, however short and without digits, the
+password of ``scheme://user:password@host``, and a web token whole (parts between dots, the first
+of which starts ``eyJ``). A run is split at its signs of assignment: ``name=`` belongs to the text before the value, while
 ``=`` at the end is padding and stays. Each candidate
 is described by its length, its transitions between character classes, the share of it that
 dictionary words cover, the path of its document, and the words on either side. A random
@@ -14,7 +15,7 @@ digests, UUIDs, paths, identifiers, placeholders). Another table of the same col
 (candidate, before, after, path, label) can be given.
 
 Defined cases: a null text has no candidates; a null path counts as empty; repeated rows are
-each reported; candidates do not overlap. A run of 16 characters none of whose parts between
+each reported; candidates do not overlap; texts of any length are scanned whole, and a score at the threshold is a secret. A run of 16 characters none of whose parts between
 signs has 16 and a digit is reported by its last part. A value assigned by ``${...}`` or ``$(...)``
 is a reference, not a value. Other columns are not looked at. An empty table gives no findings.
 """
@@ -66,7 +67,11 @@ VALUE = (
     rf"(?<=[=:>\s\"'`])(?:(?<![^=:>\"'`\s]\s)|(?<=[rRcC][ \t]))(?=[^\s\"'`&,;<>(){{}}\[\]|=:])(?!\$[{{(])(?!(?i:bearer|basic)[ \t]{{1,4}}[^\s])(?![{PLAIN}]+=+{LONG})(?<=[=:]>?[ \t]{{0,16}}(?:[A-Za-z]{{5,6}}[ \t]{{1,4}})?[\"'`]?)(?<={NAMED})"
     rf"(?:(?<=\")[^\"\s]+(?=\")|(?<=')[^'\s]+(?=')|(?<=`)[^`\s]+(?=`)|{BARE}*[^\s\"'`&,;<>(){{}}\[\]|.!?:])"
 )
-RUN = f"{PART}|{GLUED}|{VALUE}"
+#: A web token, and the password before the host of a url.
+TOKEN = rf"(?<![{PLAIN}])eyJ[A-Za-z0-9_\-]{{8,}}+\.[A-Za-z0-9_\-]{{8,}}+(?:\.[A-Za-z0-9_\-]++)?"
+LOGIN = r"://[^\s/?#@:]{1,64}:"
+PASSWORD = rf"(?<=[^\s/]:)(?<={LOGIN})[^\s/?#@:]{{1,256}}(?=@)"
+RUN = f"{TOKEN}|{PASSWORD}|{PART}|{GLUED}|{VALUE}"
 
 
 def features(candidate: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
@@ -93,12 +98,14 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
         "hex": share("0-9a-fA-F"),
         "vowels": share("aeiouAEIOU"),
         "symbols": share(r"+/_=\-"),
+        "dots": share("."),
         "dictionary": (length - F.length(bare)) / length,
         "slashes": (length - F.length(F.replace(candidate, F.lit("/"), F.lit("")))).cast("double"),
         "sample_path": flag(F.lower(path).rlike(SAMPLE_PATH)),
         "assigned": flag(before.rlike(r"[=:]>?\s*[\"'`]?$")),
         "quoted": flag(before.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
         "in_path": flag(before.rlike(r"[/.@]$")),
+        "login": flag(before.rlike(f"{LOGIN}$") & after.rlike("^@")),
         "secret_word": flag(near.rlike(SECRET_WORDS)),
         "secret_last": flag(last.rlike(SECRET_WORDS)),
         "other_word": flag(near.rlike(OTHER_WORDS)),
@@ -119,7 +126,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     run, tail = F.col("z.runs"), F.col("z.gaps.tail")
     # a run that was found itself and is assigned to is the name of the next
     text_before = F.concat(F.when(tail.rlike(f"^{SIGN}$"), F.col("z.last")).otherwise(""), tail)
-    name = F.when(text_before.rlike(f"{NAMED}$"), "").otherwise(F.regexp_extract(run, NAME, 0))
+    name = F.when(text_before.rlike(f"(?:{NAMED}|{LOGIN})$"), "").otherwise(F.regexp_extract(run, NAME, 0))
     each = each.select(
         "doc_id", "place", "path", run.alias("run"), name.alias("name"), text_before.alias("text_before"), F.col("z.next.head").alias("after"),
         (F.sum(F.col("z.gaps.gap") + F.length(run)).over(so_far) - F.length(run)).alias("run_start"),
@@ -160,7 +167,7 @@ def labelled_findings(spark: SparkSession, per_kind: int = 250) -> DataFrame:
     c = {k: F.col(k) for k in plain}
     digitless = F.translate("base64", "0123456789+/", "qWzKvXbTgHRm")
     words, letters, nothing = [c[f"word{n}"] for n in range(5)], F.regexp_replace("base64", "[+/]", "x"), F.lit("")
-    # label, candidate, name before it, and how it follows the name: assigned, maybe assigned (None), or directly
+    # label, candidate, name before it, and how it follows the name: assigned, maybe assigned (None), directly, or before a host ("@")
     kinds = [
         (1, c["sha1"], c["secret_name"], True), (1, F.upper("sha1"), F.upper("secret_name"), True), (1, c["base64"], c["secret_name"], True), (1, c["md5"], c["secret_name"], True),
         (1, F.concat(F.lit("AKIA"), F.left(F.upper(letters), F.lit(16))), nothing, None), (1, F.concat(F.lit("ghp_"), F.left(letters, F.lit(36))), nothing, None),
@@ -172,12 +179,17 @@ def labelled_findings(spark: SparkSession, per_kind: int = 250) -> DataFrame:
         (0, c["sha1"], c["other_name"], None), (0, c["md5"], c["other_name"], None), (0, c["uuid"], c["id_name"], None),
         (0, F.concat_ws("/", *words[:3], c["number"]), nothing, False), (0, F.concat_ws("-", *words[:3], c["number"]), nothing, None),
         (0, F.concat_ws("_", *words, c["number"]), c["secret_name"], None), (0, F.concat(F.lit("your-"), words[0], F.lit("-token-goes-here-"), c["number"]), c["secret_name"], True),
+        (1, F.concat(F.lit("eyJ"), F.left(letters, F.lit(17)), F.lit(".eyJ"), F.left(F.reverse(letters), F.lit(30)), F.lit("."), F.reverse(F.left(letters, F.lit(40)))), nothing, None),
+        (1, F.concat(F.lit("eyJ"), F.left(letters, F.lit(17)), F.lit(".eyJ"), F.left(F.reverse(letters), F.lit(30)), F.lit("."), F.reverse(F.left(letters, F.lit(40)))), c["secret_name"], True),
+        (1, F.left(letters, c["short"]), F.concat(F.lit("postgres://"), words[0], F.lit(":")), "@"), (1, c["passphrase"], F.concat(F.lit("https://"), words[1], F.lit(":")), "@"),
+        (0, words[2], F.concat(F.lit("mysql://"), words[0], F.lit(":")), "@"), (0, F.concat_ws("_", *words[:2]), F.concat(F.lit("amqp://"), words[3], F.lit(":")), "@"),
+        (0, F.concat_ws(".", words[0], words[1], c["number"], c["number"]), c["secret_name"], True), (0, c["sha1"], F.concat(c["secret_name"], F.lit(" fixed in commit")), False),
         (0, F.concat(c["same"], c["number"]), c["secret_name"], True), (0, F.concat(F.lit("http-"), c["sha1"]), F.lit("http://example.com/"), False),
     ]
     found = []
     for label, candidate, name, assigned in kinds:
-        between = F.concat("open", "quote") if assigned else F.concat("space", "quote") if assigned is None else nothing
-        after = F.concat(nothing if assigned is False else c["quote"], "end")
+        between = nothing if assigned == "@" else F.concat("open", "quote") if assigned else F.concat("space", "quote") if assigned is None else F.when(name.rlike("commit$"), " ").otherwise("")
+        after = F.concat(F.lit("@"), words[4], F.lit("/db")) if assigned == "@" else F.concat(nothing if assigned is False else c["quote"], "end")
         found.append(F.struct(candidate.alias("candidate"), F.concat("start", name, between).alias("before"), after.alias("after"), c["path"].alias("path"), F.lit(label).alias("label")))
     return staged(rows.select(F.explode(F.array(*found)).alias("f")).select("f.*"), "findings")
 
