@@ -6,6 +6,8 @@ of a scale factor are staged once in an application and read by each query.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -992,7 +994,7 @@ def ensemble_scores(spark, sf_dir):
 def linkage_end_to_end(spark, sf_dir):
     """Training, calibration, gate and matching on the derived records."""
     queries, targets = X.split(X.records(spark, sf_dir))
-    config = L.Config(folds=3, negatives=6, adversarial=2, graph=False)
+    config = L.Config(folds=3, negatives=6, adversarial=2)
     prepared, fitted, oof = L.train(queries, targets, X.truth(spark, sf_dir), config)
     _, matches = L.match(queries, prepared, L.fit_gate(oof, queries, X.truth(spark, sf_dir), fitted), config)
     return matches
@@ -1076,7 +1078,7 @@ def event_windows(spark, sf_dir):
 @query()
 def streaming_micro_batch(spark, sf_dir):
     """Queries that arrive in files, matched batch by batch against staged targets."""
-    root = f"{shared_dir(spark)}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"  # a stream of its own for each call
     queries, _ = X.split(X.records(spark, sf_dir))
     queries.repartition(2).write.mode("overwrite").parquet(f"{root}/in")
     targets = staged(sides(spark, sf_dir)[1])

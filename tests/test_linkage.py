@@ -3,13 +3,16 @@
 import pytest
 from pyspark.sql import functions as F
 
+from affinis import catalogue
 from affinis.functions.constants import PAIR_FEATURES
 from affinis.operators import blocking as B
 from affinis.operators import features as FE
 from affinis.operators import graph as G
 from affinis.operators import profile as P
 from affinis.operators import retrieval as R
+from affinis.operators import search as SR
 from affinis.operators import semantic as SE
+from affinis.operators import thresholds as TH
 from affinis.sources import tables as TB
 from affinis.sources.staging import staged
 
@@ -120,3 +123,22 @@ def test_written_lists_keep_order(spark, tmp_path):
     assert text == "source1_entity_id\tmatched_entity_ids\nS1-b\tS2-2,S2-1\nS1-a\t\n"
     back = TB.read_lists(spark, str(tmp_path / "m")).orderBy(F.desc("id")).collect()
     assert [(r.id, r["items"]) for r in back] == [("S1-b", ["S2-2", "S2-1"]), ("S1-a", [])]
+
+
+@pytest.mark.parametrize("how", [B.DEFAULT, B.Blocking(max_frequency=1), B.Blocking(context="per_channel", limit_multiplier=0.05), B.Blocking(max_frequency=0)])
+def test_blocks_rank_as_pairs_do(spark, sf, how, monkeypatch):
+    """Small blocks and short lists, against the plan with a row per pair."""
+    monkeypatch.setattr(SR, "QUERIES", 40)
+    monkeypatch.setattr(SR, "LIST", 50)
+    queries, targets = catalogue.sides(spark, sf)
+    columns = ["query_id", "candidate_id", "rank", F.round("score", 6).alias("score"), F.round("context", 6).alias("context"), "channels"]
+    ours, theirs = (staged(f.select(*columns)) for f in (SR.by_blocks(queries, targets, how, 25, postings=20_000), R.retrieve_pairs(queries, targets, how)))
+    assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
+    assert SR.by_blocks(queries.limit(0), targets, how, 25).isEmpty() and SR.by_blocks(queries, targets.limit(0), how, 25).isEmpty()
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(g, i * 7 % 100, float(i)) for g in ("a", "b") for i in range(100)]
+    frame = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {(r.g, r.k): r.t for r in TH.running_sums(frame, "k", {"v": "t"}, ("g",)).collect()}
+    assert got == {(g, k): sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
