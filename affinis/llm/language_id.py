@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm._shared import HOT_SHARE, join_hot, keep_rows, small_batches, staged, text_key
 
-HOT_WORDS = 200_000
+HOT_WORDS = 1_000_000
 ORDERS = (5, 4, 3, 2, 1)
 SHARPNESS = 4.0
 DIGITS = 9
