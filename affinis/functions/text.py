@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 from functools import reduce
@@ -40,12 +41,74 @@ def _folding() -> tuple[str, str]:
 
 FOLD_FROM, FOLD_TO = _folding()
 
+#: Letters of other scripts and the Latin letter of each. Hard and soft signs have none.
+CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшыэюяіїєґўјљњћђџ", "abvgdeozziiklmnoprstufktcsyeuaiieguj" + "lncdd", strict=True))
+GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "abgdezetiklmnxoprsstupkpo", strict=True))
+#: Letters that take another Latin letter after or before their own, and one that stands for two.
+FOLLOWED = {"h": "жхчшθφχ", "s": "цψ"}
+PRECEDED = {"i": "ёюяє", "a": ""}
+SIGNS = "ъь"
+#: First code of Devanagari, and the distance and number of the blocks of Indian scripts that are laid out like it.
+DEVANAGARI, BLOCK, BLOCKS = 0x0900, 0x80, 9
+
+
+def _indian() -> tuple[dict[str, str], str, str]:
+    """Latin letters of Indian letters, those aspirated, and those of two vowels, by their names in Devanagari.
+
+    A consonant stands for its first letter, its own vowel is not written; a vowel stands for its last letter."""
+    letters, aspirated, double = {}, "", ""
+    for at in range(BLOCK):
+        code = chr(DEVANAGARI + at)
+        found = re.fullmatch(r"DEVANAGARI (LETTER|VOWEL SIGN|DIGIT|SIGN) (?:.* )?(\w+)", unicodedata.name(code, ""))
+        if not found:
+            continue
+        kind, sound = found.groups()
+        every = "".join(chr(ord(code) + BLOCK * i) for i in range(BLOCKS))
+        if kind == "DIGIT":
+            letter = str(unicodedata.digit(code))
+        elif kind == "SIGN":
+            letter = "n" if sound in ("ANUSVARA", "CANDRABINDU") else ""
+        elif kind == "LETTER" and sound[0] not in "AEIOU" and sound.endswith("A"):
+            letter = sound[0].lower()
+            aspirated += every if "H" in sound[1:] else ""
+        else:
+            letter = sound[-1].lower()
+            double += every if sound in ("AI", "AU") else ""
+        if letter:
+            letters |= dict.fromkeys(every, letter)
+    return letters, aspirated, double
+
+
+def _accented(table: dict[str, str], first: int, last: int) -> dict[str, str]:
+    """The letters of a range that decompose to one of the table and marks."""
+    bases = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(first, last)}
+    return {c: table[b] for c, b in bases.items() if b in table and c not in table}
+
+
+_INDIAN, _ASPIRATED, _DOUBLE = _indian()
+LETTERS = CYRILLIC | _accented(CYRILLIC, 0x0400, 0x0530) | GREEK | _accented(GREEK, 0x0370, 0x03D0) | _INDIAN
+FOLLOWED["h"] += _ASPIRATED
+PRECEDED["a"] += _DOUBLE
+OTHER_SCRIPTS = f"[\u0370-\u052f{chr(DEVANAGARI)}-{chr(DEVANAGARI + BLOCK * BLOCKS - 1)}]"
+
+
+def transliterate(low: Column) -> Column:
+    """Lower-case Cyrillic, Greek and Indian letters in Latin ones; all else stays as it is."""
+    out = F.replace(low, F.lit("щ"), F.lit("шч"))
+    for latin, letters in FOLLOWED.items():
+        out = F.regexp_replace(out, f"([{letters}])", f"$1{latin}")
+    for latin, letters in PRECEDED.items():
+        out = F.regexp_replace(out, f"([{letters}])", f"{latin}$1")
+    # characters of the first string that the second has no partner for are deleted
+    out = F.translate(out, "".join(LETTERS) + SIGNS, "".join(LETTERS.values()))
+    return F.when(low.rlike(OTHER_SCRIPTS), out).otherwise(low)
+
 
 def normalise(text: Column) -> Column:
-    """Lower case without accents; runs of anything but a-z and 0-9 become one space. Null gives ''."""
+    """Lower case without accents, other alphabets in Latin letters; runs of anything but a-z and 0-9 become one space. Null gives ''."""
     low = F.trim(F.lower(F.coalesce(text, F.lit(""))))
     low = F.replace(F.replace(low, F.lit("&"), F.lit(" and ")), F.lit("/"), F.lit(" "))
-    folded = F.translate(F.regexp_replace(low, r"\p{M}+", ""), FOLD_FROM, FOLD_TO)
+    folded = F.translate(F.regexp_replace(transliterate(low), r"\p{M}+", ""), FOLD_FROM, FOLD_TO)
     spelled = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SPELLED.items(), folded)
     return F.trim(F.regexp_replace(spelled, "[^a-z0-9]+", " "))
 

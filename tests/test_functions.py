@@ -23,11 +23,21 @@ def each(spark, f, cases):
 def test_normalise(spark):
     cases = [
         (None, ""), ("", ""), ("  Café  Zürich ", "cafe zurich"), ("A&B/C", "a and b c"), ("Straße", "strasse"), ("Łódź Øl", "lodz ol"), ("x--y__z", "x y z"),
-        ("e\u0301te\u0301", "ete"), ("Привет", ""),
+        ("e\u0301te\u0301", "ete"), ("МОСКВА", "moskva"),
     ]
     each(spark, T.normalise, cases)
 
 
+def test_other_scripts(spark):
+    cases = [
+        ("Привет & Щука", "privet and shchuka"), ("Объект", "obekt"), ("Київ", "kiiv"), ("йод и\u0306од Ё", "iod iod io"), ("Юля Цех Жук", "iulia tsekh zhuk"),
+        ("ΑΘΗΝΑ Ψυχή", "athena psukhe"), ("दिल्ली", "dilli"), ("भारत १२", "bhart 12"), ("मैसूर", "maisur"), ("ঢাকা", "dhaka"), ("ತುಮಕೂರು", "tumkuru"),
+        ("東京", ""), ("Acme Москва Ltd", "acme moskva ltd"),
+    ]
+    each(spark, T.normalise, cases)
+    each(spark, T.soundex, [("Москва", "M210"), ("Александр", "A425"), ("Aleksandr", "A425")])
+
+
 def test_name_variants(spark):
     cases = [
         ("Acme Private Limited", ["acme"]), ("Acme Ltd Inc LLC", ["acme"]), ("Ltd", []), ("", []), (None, []), ("Foo Intl doing business as Bar Mfg Pvt Ltd", ["foo international", "bar manufacturing"]),
