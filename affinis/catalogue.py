@@ -7,6 +7,7 @@ of a scale factor are staged once in an application and read by each query.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,6 +204,18 @@ def normalize_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("normal"))
 
 
+#: Latin letters, and one letter of another script that stands for each.
+_SCRIPTS = {"cyrillic": ("ABDEGIKLMNOPRSTUVZ", "АБДЕГИКЛМНОПРСТУВЗ"), "greek": ("ABDEGIKLMNOPRSTXZ", "ΑΒΔΕΓΙΚΛΜΝΟΠΡΣΤΞΖ")}
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey, '{s}' AS script, {O.norm('p_name')} AS normal FROM part" for s in _SCRIPTS))
+def transliterated_names(spark, sf_dir):
+    """Names of parts that are put in another script and come back."""
+    part = read(spark, sf_dir, "part")
+    each = [part.select("p_partkey", F.lit(s).alias("script"), T.normalise(F.translate(F.upper("p_name"), *letters)).alias("normal")) for s, letters in _SCRIPTS.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 @query(f"WITH {O.RECORDS} SELECT entity_id, {O._case(O.norm('country'), C.COUNTRY_ALIASES, O.norm('country'))} AS country FROM every_record")
 def normalize_country(spark, sf_dir):
     return X.records(spark, sf_dir, extra=True).select("entity_id", T.normalise_country(F.col("country")).alias("country"))

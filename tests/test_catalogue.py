@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from affinis import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["load_sources", "name_variants", "address_city", "soundex_names", "key_frequency", "candidate_rank", "threshold_sweep", "bucket_impact", "validate_submission", "mixed_pool_counts", "conditional_agg", "macro_f05"]
+CHECKED = ["load_sources", "normalize_text", "transliterated_names", "name_variants", "address_city", "soundex_names", "key_frequency", "candidate_rank", "threshold_sweep", "bucket_impact", "validate_submission", "mixed_pool_counts", "conditional_agg", "macro_f05"]
 
 
 def rows(frame, columns):
