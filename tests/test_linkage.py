@@ -137,6 +137,23 @@ def test_blocks_rank_as_pairs_do(spark, sf, how, monkeypatch):
     assert SR.by_blocks(queries.limit(0), targets, how, 25).isEmpty() and SR.by_blocks(queries, targets.limit(0), how, 25).isEmpty()
 
 
+def test_blocks_do_not_grow_with_what_queries_meet():
+    """Tables of 900,000 queries whose index fits a block: 12 blocks, and not one for each 8,000,000 postings met."""
+    assert SR.blocks_for(queries=900_000, met=18_000_000_000, index=14_400_000, cores=6) == 12
+    assert SR.blocks_for(15_000, 300_000_000, 240_000, 6) == 6 and SR.blocks_for(0, 0, 0, 6) == 1
+    assert SR.blocks_for(900_000, 18_000_000_000, 64_000_000, 6) > 500
+
+
+def test_frequent_keys_and_words_rank_as_pairs_do(spark, sf, monkeypatch):
+    """Nearly every key and word is frequent, so that what queries have in common comes from sums for all of them."""
+    queries, targets = catalogue.sides(spark, sf)
+    columns = ["query_id", "candidate_id", "rank", F.round("score", 6).alias("score"), F.round("context", 6).alias("context"), "channels"]
+    monkeypatch.setattr(SR, "FREQUENT", 2)
+    monkeypatch.setattr(SR, "ROWS", 100)
+    ours, theirs = (staged(f(queries, targets, B.DEFAULT, 25).select(*columns)) for f in (SR.by_blocks, R.retrieve_pairs))
+    assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
+
+
 def test_running_sums_over_ranges(spark):
     rows = [(g, i * 7 % 100, float(i)) for g in ("a", "b") for i in range(100)]
     frame = spark.createDataFrame(rows, "g string, k int, v double")
