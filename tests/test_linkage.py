@@ -154,6 +154,28 @@ def test_frequent_keys_and_words_rank_as_pairs_do(spark, sf, monkeypatch):
     assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
 
 
+@pytest.mark.parametrize("frequent", [SR.FREQUENT, 2])
+def test_blocks_give_scores_contexts_and_channels_as_pairs_do(spark, frequent, monkeypatch):
+    """All pairs without a row of a join, the phonetic channel of a query with few candidates included."""
+    monkeypatch.setattr(SR, "FREQUENT", frequent)
+    words = ("Harbor", "Dock", "Blue", "Red", "Stone")
+    q = profiles(spark, ("S1-x", "Bip", "", "US"), ("S1-none", "", "", ""), *[(f"S1-{i}", f"{words[i % 5]} {words[i % 3]} Works", f"{i} Dock Road, 7500{i % 3} Paris", "France") for i in range(12)])
+    t = profiles(spark, ("S2-x", "Bub", "", "US"), *[(f"S2-{i}", f"{words[i % 5]} {words[i % 4]} Works", f"{i % 9} Dock Road, 7500{i % 4} Paris", ("France", "US")[i % 2]) for i in range(60)])
+    how = B.Blocking(limit_multiplier=0.05)
+    keys = B.keys(t, how)
+    posted = B.postings(keys, B.key_frequencies(keys), how)
+    plain = staged(R.channel_scores(B.keys(q, how).filter("channel <> 'name_phonetic'"), posted, F.lit(61), how))
+    phonetic = R.channel_scores(B.keys(q.filter("entity_id = 'S1-x'"), how).filter("channel = 'name_phonetic'"), posted, F.lit(61), how)
+    every = staged(plain.unionByName(phonetic))
+    contexts = staged(R.with_context(every, q, t))
+    top = R.channel_top(every, contexts, how)
+    for give, theirs in (("scores", plain), ("contexts", contexts), ("selected", top)):
+        rounded = [F.round(c, 6).alias(c) if c in ("score", "context") else F.col(c).cast("string") for c in theirs.columns]
+        ours, theirs = (staged(f.select(*rounded)) for f in (SR.by_blocks(q, t, how, 0, give=give), theirs))
+        assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
+    assert top.filter("channel = 'name_phonetic'").count() == 1
+
+
 def test_running_sums_over_ranges(spark):
     rows = [(g, i * 7 % 100, float(i)) for g in ("a", "b") for i in range(100)]
     frame = spark.createDataFrame(rows, "g string, k int, v double")
