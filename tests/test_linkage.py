@@ -1,5 +1,7 @@
 """Blocking, retrieval, graph and features on small records."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from affinis.operators import retrieval as R
 from affinis.operators import search as SR
 from affinis.operators import semantic as SE
 from affinis.operators import thresholds as TH
+from affinis.sources import staging
 from affinis.sources import tables as TB
 from affinis.sources.staging import staged
 
@@ -176,6 +179,28 @@ def test_blocks_give_scores_contexts_and_channels_as_pairs_do(spark, frequent, m
     assert top.filter("channel = 'name_phonetic'").count() == 1
 
 
+def test_features_of_slices_are_those_of_all_pairs(spark, sf, monkeypatch):
+    """Slices and single features, against one join of all profiles; what was staged for a table goes when it is written."""
+    monkeypatch.setattr(staging, "_MADE", dict(staging._MADE))
+    queries, targets = catalogue.sides(spark, sf)
+    pairs = catalogue.ranked(spark, sf)
+    whole = staged(FE.pair_features(pairs, *catalogue.X.split(FE.weighted(queries.unionByName(targets), targets))))
+    rounded = {c: F.round(c, 9) for c in whole.columns[2:]}
+    monkeypatch.setattr(catalogue, "SLICE", 2000)
+    kept, before = [], {f.name for f in Path(_folder(spark)).iterdir()}
+    for only in (("name_jaro_winkler",), ("address_tfidf_cosine", "address_layout_country_plausibility"), ()):
+        got = catalogue.pair_features(spark, sf, *only)
+        columns = ["query_id", "candidate_id", *(only or whole.columns[2:])]
+        assert got.columns == columns and got.count() == whole.count() > 200
+        assert got.withColumns({c: rounded[c] for c in columns[2:]}).exceptAll(whole.withColumns(rounded).select(columns)).isEmpty()
+        kept.append(got)
+    assert len({f.name for f in Path(_folder(spark)).iterdir()} - before) == len(kept)
+
+
+def _folder(spark):
+    return staging.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+
+
 def test_running_sums_over_ranges(spark):
     rows = [(g, i * 7 % 100, float(i)) for g in ("a", "b") for i in range(100)]
     frame = spark.createDataFrame(rows, "g string, k int, v double")
