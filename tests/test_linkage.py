@@ -62,6 +62,25 @@ def test_semantic_fallback_and_its_cap(spark):
         SE.neighbours(q, t, max_rows=1)
 
 
+def test_neighbours_of_copies_are_those_of_a_join_of_all_records(spark):
+    """Names with many records, ties by id within and between them, against every record by itself."""
+    words = ("Harbor", "Harbour", "Dock", "Docks", "Stone")
+    q = profiles(spark, *[(f"S1-{i}", f"{words[i % 3]} Works", "", "US") for i in range(6)], ("S1-none", "", "", "US"))
+    t = profiles(spark, *[(f"S2-{i:02}", f"{words[i % 5]} {('Works', 'Bay dba Harbor')[i % 2]}", "", "US") for i in range(40)])
+    counted = SE.grams(t).withColumn("records", F.lit(1))
+    vocab = staged(SE.vocabulary(counted, t.agg(F.count("*").alias("documents"))))
+    of_query, of_target = ({(r.entity_id, r.gram): r.w for r in SE.weights(x, vocab).collect()} for x in (SE.grams(q), counted))
+    want = set()
+    for query in {k[0] for k in of_query}:
+        sums = {}
+        for (target, gram), w in of_target.items():
+            sums[target] = sums.get(target, 0.0) + w * of_query.get((query, gram), 0.0)
+        order = sorted((-round(v, 6), target) for target, v in sums.items() if v >= 0.12)[:7]
+        want |= {(query, target, -v) for v, target in order}
+    got = {(r.query_id, r.candidate_id, round(r.similarity, 6)) for r in SE.neighbours(q, t, top=7).collect()}
+    assert got == want and len(got) == 42
+
+
 def test_per_channel_context_counts_once_per_channel(spark):
     q, t = profiles(spark, ("S1-1", "Blue Harbor", "4 Dock Road", "US")), profiles(spark, ("S2-a", "Blue Harbor", "4 Dock Road", "US"))
     once, per = (R.retrieve(q, t, B.Blocking(context=m)).first() for m in ("once", "per_channel"))
