@@ -10,6 +10,7 @@ from affinis.functions.constants import PAIR_FEATURES
 from affinis.operators import blocking as B
 from affinis.operators import features as FE
 from affinis.operators import graph as G
+from affinis.operators import metrics as M
 from affinis.operators import profile as P
 from affinis.operators import retrieval as R
 from affinis.operators import search as SR
@@ -220,6 +221,20 @@ def _folder(spark):
     return staging.shared_dir(spark).removeprefix("file://").removeprefix("file:")
 
 
+def test_channel_recall_moves_each_pair_once(spark):
+    """Pairs are not copied for each of their channels before they meet the truth."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    queries = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    selected = spark.createDataFrame([("S1-1", "S2-1", ["name_token", "postal"]), ("S1-1", "S2-2", ["postal"]), ("S1-2", "S2-1", [])], "query_id string, candidate_id string, channels array<string>")
+    found = M.channel_recall(queries, selected, spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S2-9")], "entity_id string, candidate_id string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    depth = {kind: [line.index(kind) for line in plan if kind in line] for kind in ("Generate explode", "LeftOuter, ((query_id")}
+    assert max(depth["Generate explode"]) < min(depth["LeftOuter, ((query_id"])
+    got = {r.channel: (r.candidates, r.hits, r.mean_size) for r in found.collect()}
+    assert got["postal"] == (2, 1, 1.0) and got["name_token"] == (1, 1, 0.5) and got["city_token"] == (0, 0, 0.0) and len(got) == 10
+
+
 def test_running_sums_over_ranges(spark):
     rows = [(g, i * 7 % 100, float(i)) for g in ("a", "b") for i in range(100)]
     frame = spark.createDataFrame(rows, "g string, k int, v double")
