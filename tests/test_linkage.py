@@ -217,6 +217,25 @@ def test_features_of_slices_are_those_of_all_pairs(spark, sf, monkeypatch):
     assert len({f.name for f in Path(_folder(spark)).iterdir()} - before) == len(kept)
 
 
+def test_steps_of_a_shared_table_are_deleted_and_the_tables_that_it_is_made_from_stay(spark):
+    steps = []
+
+    def build():
+        shared = staging.once(spark, ("test", "shared"), lambda: spark.range(3))
+        steps.append(staging.staged(shared))
+        yield steps[0].filter("id < 2")
+        yield steps[0].filter("id = 2")
+
+    found = staging.once(spark, ("test", "made"), build)
+    assert sorted(r.id for r in found.collect()) == [0, 1, 2]
+    assert not Path(steps[0].inputFiles()[0].removeprefix("file://")).exists()
+    assert staging.once(spark, ("test", "shared"), None).count() == 3
+    kept = staging.staged(spark.range(2))
+    assert kept.count() == 2
+    staging.drop(kept)
+    assert not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
+
+
 def _folder(spark):
     return staging.shared_dir(spark).removeprefix("file://").removeprefix("file:")
 
