@@ -236,6 +236,22 @@ def test_steps_of_a_shared_table_are_deleted_and_the_tables_that_it_is_made_from
     assert not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
 
 
+def test_entity_features_and_training_pairs_of_slices(spark, sf, monkeypatch):
+    """Slice by slice, against all pairs at once."""
+    monkeypatch.setattr(staging, "_MADE", dict(staging._MADE))
+    monkeypatch.setattr(catalogue, "SLICE", 2000)
+    ours, all_pairs = catalogue.entity_feature_table(spark, sf), catalogue.pair_features(spark, sf)
+    assert not staging.has(spark, ("features", sf, "rank")) and len(list(catalogue._slices(spark, sf, ("rank",)))) == 2
+    rows = all_pairs.join(catalogue.ranked(spark, sf).select("query_id", "candidate_id", "rank"), ["query_id", "candidate_id"]).withColumnRenamed("query_id", "entity_id")
+    p = F.round(0.6 * F.col("name_token_jaccard") + 0.4 * F.col("address_token_jaccard"), 9)
+    theirs = catalogue.E.entity_features(catalogue.sides(spark, sf)[0], rows.withColumns({"probability": p, "calibrated": p}), 0.5)
+    ours, theirs = (x.select("entity_id", *[F.round(c, 6).alias(c) for c in x.columns[1:]]) for x in (ours, theirs))
+    assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
+    sampled, once = catalogue.training(spark, sf), catalogue.N.training_pairs(all_pairs, catalogue.X.truth(spark, sf), 6)
+    pair = ["entity_id", "candidate_id", "label"]
+    assert sampled.count() == once.count() > 0 and sampled.select(pair).exceptAll(once.select(pair)).isEmpty()
+
+
 def _folder(spark):
     return staging.shared_dir(spark).removeprefix("file://").removeprefix("file:")
 
