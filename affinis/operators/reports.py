@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affinis.functions import text as T
 from affinis.operators import metrics as M
+from affinis.operators import profile as P
 
 
 def error_buckets(expected: Column, predicted: Column) -> Column:
@@ -101,17 +102,34 @@ def drift(scores: DataFrame) -> DataFrame:
     return M.score_distribution(scores, "score", "dataset", "score_type")
 
 
-def hide_country(records: DataFrame, names: tuple[str, ...], corrupt: bool = False) -> DataFrame:
-    """Records with their country blanked, or misspelled, where it is one of names (all for none)."""
+def _hidden(names: tuple[str, ...], corrupt: bool) -> Column:
     mine = F.lit(True) if not names else T.normalise_country(F.col("country")).isin(*names)
     changed = F.when(F.coalesce("country", F.lit("")) == "", F.lit("unknown")).otherwise(F.concat("country", F.lit("x"))) if corrupt else F.lit("")
-    return records.withColumn("country", F.when(mine, changed).otherwise(F.col("country")))
+    return F.when(mine, changed).otherwise(F.col("country"))
+
+
+def hide_country(records: DataFrame, names: tuple[str, ...], corrupt: bool = False) -> DataFrame:
+    """Records with their country blanked, or misspelled, where it is one of names (all for none)."""
+    return records.withColumn("country", _hidden(names, corrupt))
 
 
 #: Scenarios of missing countries: which are hidden, and whether queries are misspelled instead.
 SCENARIOS = {"france_hidden": (("france",), False), "us_india_hidden": (("us", "india"), False), "us_india_query_corrupted": (("us", "india"), True), "all_hidden": ((), False)}
 
 
+def scenario_profiles(records: DataFrame, queries: Column) -> DataFrame:
+    """Profiles of the records in all scenarios, and the names of those that each is for: a record is parsed once for
+    each country that it gets. ``queries`` tells the records that are misspelled, where only queries are."""
+    each = F.array(*[
+        F.struct(F.lit(name).alias("scenario"), (F.when(queries, _hidden(names, True)).otherwise(F.col("country")) if corrupt else _hidden(names, False)).alias("country"))
+        for name, (names, corrupt) in SCENARIOS.items()
+    ])
+    rows = records.withColumn("each", each).withColumn("country", F.explode(F.array_distinct(F.transform("each", lambda s: s["country"]))))
+    mine = F.transform(F.filter("each", lambda s: s["country"].eqNullSafe(F.col("country"))), lambda s: s["scenario"])
+    found = P.profile(rows.withColumn("entity_id", F.struct("entity_id", mine.alias("scenarios"))))
+    return found.withColumns({"scenarios": F.col("entity_id.scenarios"), "entity_id": F.col("entity_id.entity_id")})
+
+
 def model_comparison(folds: DataFrame) -> DataFrame:
     """Models by mean score over folds (columns model, fold, score), best first."""
     summed = folds.groupBy("model").agg(*[F.round(f("score"), 6).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("most", F.max), ("std", F.stddev_pop))], F.count("*").alias("folds"))

@@ -12,6 +12,7 @@ from affinis.operators import features as FE
 from affinis.operators import graph as G
 from affinis.operators import metrics as M
 from affinis.operators import profile as P
+from affinis.operators import reports as RP
 from affinis.operators import retrieval as R
 from affinis.operators import search as SR
 from affinis.operators import semantic as SE
@@ -167,6 +168,26 @@ def test_blocks_do_not_grow_with_what_queries_meet():
     assert SR.blocks_for(900_000, 18_000_000_000, 64_000_000, 6) > 500
 
 
+def test_each_block_has_a_task_of_its_own(spark):
+    """Numbers from 0 on would meet in some partitions, whose tasks then rank several blocks one after another."""
+    for n in (1, 6, 12, 300):
+        rows = spark.createDataFrame([(b,) for b in SR.labels(spark, n)], "block int").repartition(n, "block")
+        assert sorted(r.p for r in rows.select(F.spark_partition_id().alias("p")).collect()) == list(range(n))
+
+
+def test_scenarios_of_countries_are_parsed_once_for_each_country(spark, sf):
+    """All scenarios' profiles at once, against each by itself."""
+    records = catalogue.X.records(spark, sf, extra=True).withColumn("country", F.when(F.col("entity_id") != "X-02", F.col("country")))
+    records = staged(records.filter("substr(entity_id, -1) in ('1', '2')"))
+    every = staged(RP.scenario_profiles(records, F.col("entity_id").startswith("S1-")))
+    assert records.count() < every.count() < 3 * records.count()
+    for name, (countries, corrupt) in RP.SCENARIOS.items():
+        mine = F.col("entity_id").startswith("S1-") if corrupt else F.lit(True)
+        theirs = P.profile(RP.hide_country(records.filter(mine), countries, corrupt).unionByName(records.filter(~mine)))
+        ours = every.filter(F.array_contains("scenarios", name)).drop("scenarios")
+        assert ours.count() == records.count() and ours.select(theirs.columns).exceptAll(theirs).isEmpty()
+
+
 def test_frequent_keys_and_words_rank_as_pairs_do(spark, sf, monkeypatch):
     """Nearly every key and word is frequent, so that what queries have in common comes from sums for all of them."""
     queries, targets = catalogue.sides(spark, sf)
