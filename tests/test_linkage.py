@@ -257,6 +257,21 @@ def test_steps_of_a_shared_table_are_deleted_and_the_tables_that_it_is_made_from
     assert not Path(kept.inputFiles()[0].removeprefix("file://")).exists()
 
 
+def test_shuffle_files_go_with_the_part_that_they_were_made_for(spark, monkeypatch):
+    """Without waiting for the driver's garbage collection, which comes late or not before the next part is written."""
+    monkeypatch.setattr(staging, "_free", lambda spark: None)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in manager.getAllFiles().mkString("\n").splitlines() if "/shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(staging.CLEANUP, None)
+    parts = [spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count() for _ in range(2)]
+    made = staging.staged_parts(spark, parts)
+    assert not files() - before and spark.conf.get(staging.CLEANUP, None) == setting
+    assert made.agg(F.sum("count")).first()[0] == 2000 and sorted(r["count"] for r in parts[0].collect()) == [142] * 1 + [143] * 6
+
+
 def test_entity_features_and_training_pairs_of_slices(spark, sf, monkeypatch):
     """Slice by slice, against all pairs at once."""
     monkeypatch.setattr(staging, "_MADE", dict(staging._MADE))
