@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from affinis.operators import metrics as M
 from affinis.operators import sampling as N
 from affinis.operators import thresholds as TH
 from affinis.operators import validate as V
+from affinis.plans import models as ML
 
 SCORED = "entity_id string, candidate_id string, label int, probability double"
 
@@ -95,3 +97,35 @@ def test_order_check(spark):
     b = spark.createDataFrame([(0, "S1-2", ["S2-1"]), (1, "S1-1", ["S2-1", "S2-2"])], schema)
     assert all(r.n == 0 for r in V.check_order(a, a, a, 1).collect())
     assert {r.rule: r.n for r in V.check_order(a, a, b, 1).collect()} == {"order_differs": 2, "over_cap": 1, "match_not_candidate": 0}
+
+
+def test_logistic_models_reach_the_minimum_in_few_jobs(spark):
+    """The gradient of the penalised loss by numpy is zero there; features of very different sizes, nearly separable."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4)) * [1, 50, 0.01, 3] + [0, 400, 0, 1]
+    y = (x[:, 0] + 0.02 * (x[:, 1] - 400) + rng.normal(size=600) * 0.2 > 1).astype(int)
+    names = ("a", "b", "c", "d")
+    rows = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x, strict=True)], "label int, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    spark.sparkContext.setJobGroup("fit", "fit")
+    model = ML.fit(rows, "logistic", names)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    w = np.where(y == 1, 600 / (2 * y.sum()), 600 / (2 * (600 - y.sum())))
+    beta = np.array(model.coefficients)
+    p = 1 / (1 + np.exp(-(x @ beta + model.intercept)))
+    slopes = np.append(x.T @ (w * (p - y)) + beta, (w * (p - y)).sum())
+    assert np.abs(slopes).max() < 1e-3 and jobs < 40
+    got = sorted(r.probability for r in model.transform(rows).collect())
+    assert np.abs(np.array(got) - np.sort(p)).max() < 1e-8
+
+
+def test_the_sample_of_some_folds_is_that_part_of_the_whole_sample(spark):
+    names = ["name_char_similarity", "name_token_jaccard", "name_tfidf_cosine", "address_token_jaccard", "address_tfidf_cosine", "city_token_jaccard", "postal_code_match", "same_country", "name_core_exact", "address_exact"]
+    pairs = spark.range(600).select(F.concat(F.lit("S1-"), (F.col("id") % 20).cast("string")).alias("entity_id"), F.concat(F.lit("S2-"), F.col("id").cast("string")).alias("candidate_id"), *[(F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(7)) / 6.0).alias(n) for n in names])
+    truth = pairs.filter("cast(substr(candidate_id, 4) as int) < 15").select("entity_id", "candidate_id")
+    fold = F.pmod(F.hash("entity_id"), F.lit(3))
+    whole = N.sampled(N.labelled(pairs, truth).withColumn("fold", fold), 4)
+    part = N.training_pairs(pairs.filter(fold != 1).withColumnRenamed("entity_id", "query_id"), truth.filter(fold != 1), 4)
+    columns = ["entity_id", "candidate_id", "label"]
+    mine = whole.filter("fold <> 1").select(columns)
+    assert 0 < mine.count() == part.count() < pairs.filter(fold != 1).count() and mine.exceptAll(part.select(columns)).isEmpty()

@@ -311,3 +311,26 @@ def test_running_sums_over_ranges(spark):
     frame = spark.createDataFrame(rows, "g string, k int, v double")
     got = {(r.g, r.k): r.t for r in TH.running_sums(frame, "k", {"v": "t"}, ("g",)).collect()}
     assert got == {(g, k): sum(v for h, j, v in rows if h == g and j <= k) for g, k, _ in rows}
+
+
+def test_queries_that_the_linkage_is_trained_on_are_retrieved_once(spark, sf, monkeypatch):
+    """And their matches are those that ``match`` finds; retrieval, features and models stand in."""
+    L, calls = catalogue.L, []
+    ranked = spark.createDataFrame([(f"S1-{k}", f"S2-{k + d}", d + 1) for k in range(1, 9) for d in range(3)], "query_id string, candidate_id string, rank int")
+    values = {c: (1.0 / F.col("rank")).alias(c) for c in L.SCORED[3:]}
+
+    def candidates(queries, prepared, config):
+        calls.append(queries)
+        return None, ranked
+
+    fitted = L.Fitted(L.ML.LogisticModel(("postal_code_match",), (4.0,), -3.0), L.ML.Platt(), 0.5, None, 0.0)
+    monkeypatch.setattr(L, "prepare", lambda *a: None)
+    monkeypatch.setattr(L, "candidates", candidates)
+    monkeypatch.setattr(L, "features", lambda profiles, ranked, prepared, carried=("rank",): ranked.select(F.col("query_id").alias("entity_id"), "candidate_id", *carried, *values.values()))
+    monkeypatch.setattr(L, "fit", lambda pairs, *a: (fitted, pairs))
+    monkeypatch.setattr(L, "fit_gate", lambda oof, queries, truth, fitted: fitted)
+    matches = catalogue.linkage_end_to_end(spark, sf)
+    assert len(calls) == 1
+    again = L.match(calls[0], None, fitted)[1]
+    got = sorted((r.entity_id, r.candidate_id) for r in matches.collect())
+    assert got == [(f"S1-{k}", f"S2-{k}") for k in range(1, 9)] == sorted((r.entity_id, r.candidate_id) for r in again.collect())
