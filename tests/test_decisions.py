@@ -119,6 +119,22 @@ def test_logistic_models_reach_the_minimum_in_few_jobs(spark):
     assert np.abs(np.array(got) - np.sort(p)).max() < 1e-8
 
 
+def test_calibration_takes_every_row_of_a_large_class(spark):
+    """The gradient over all 700,000 rows is zero, by numpy; a class thinned to 500,000 rows moves the intercept."""
+    label = (F.col("id") % 7 == 0).cast("int").alias("label")
+    rows = spark.range(700_000).select(label, (F.pmod(F.xxhash64("id"), F.lit(100)) / 200.0 + label * 0.3).alias("probability"))
+    rows = rows.withColumns({"entity_id": F.lit("S1-1"), "candidate_id": F.monotonically_increasing_id().cast("string")})
+    platt = ML.fit_platt(rows)
+    seen = [(r.label, r.probability, r["count"]) for r in rows.groupBy("label", "probability").count().collect()]
+    y, p, n = np.array(seen, dtype=float).T
+    mean = n @ p / n.sum()
+    assert abs(platt.mean - mean) < 1e-9 and abs(platt.scale - np.sqrt(n @ (p - mean) ** 2 / n.sum())) < 1e-9
+    x = (p - mean) / platt.scale
+    error = n * (1 / (1 + np.exp(-(platt.slope * x + platt.intercept))) - y)
+    assert abs(error.sum()) < 0.1 and abs(error @ x + platt.slope) < 0.1
+    assert ML.fit_platt(rows.filter("label = 1")).slope is None
+
+
 def test_the_sample_of_some_folds_is_that_part_of_the_whole_sample(spark):
     names = ["name_char_similarity", "name_token_jaccard", "name_tfidf_cosine", "address_token_jaccard", "address_tfidf_cosine", "city_token_jaccard", "postal_code_match", "same_country", "name_core_exact", "address_exact"]
     pairs = spark.range(600).select(F.concat(F.lit("S1-"), (F.col("id") % 20).cast("string")).alias("entity_id"), F.concat(F.lit("S2-"), F.col("id").cast("string")).alias("candidate_id"), *[(F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(7)) / 6.0).alias(n) for n in names])
