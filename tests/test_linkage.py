@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,16 @@ def test_frequent_keys_and_words_rank_as_pairs_do(spark, sf, monkeypatch):
     assert ours.count() == theirs.count() > 0 and ours.exceptAll(theirs).isEmpty()
 
 
+def test_blocks_round_as_sql_does(spark):
+    """Halves go away from zero by their decimals, whatever lies below them in binary."""
+    values = [0.00005, 1.00015, 2.675 / 10, 8.12345, -0.00005, -2.0000005, -3.1234565, -0.0000001, 0.0, 123.45675, *(i / 1e9 for i in range(-300_000_050, 300_000_050, 999_999))]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", F.round("v", 4).alias("four"), F.round("v", 6).alias("six")).collect()
+    v = np.array([r.v for r in rows])
+    for digits, name in ((4, "four"), (6, "six")):
+        got = SR.half_up(v, digits)
+        assert got.tolist() == [r[name] for r in rows] and not np.signbit(got[got == 0]).any()
+
+
 @pytest.mark.parametrize("frequent", [SR.FREQUENT, 2])
 def test_blocks_give_scores_contexts_and_channels_as_pairs_do(spark, frequent, monkeypatch):
     """All pairs without a row of a join, the phonetic channel of a query with few candidates included."""
