@@ -209,6 +209,16 @@ def test_blocks_round_as_sql_does(spark):
         assert got.tolist() == [r[name] for r in rows] and not np.signbit(got[got == 0]).any()
 
 
+def test_blocks_keep_no_keys_on_disk(spark, sf, tmp_path, monkeypatch):
+    """What only leads to the postings lists and blocks is deleted when these are written."""
+    queries, targets = catalogue.sides(spark, sf)
+    monkeypatch.setattr(staging, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(staging, "_INNER", [])
+    SR.by_blocks(queries, targets, B.DEFAULT, 0, give="contexts")
+    columns = [set(spark.read.parquet(str(d)).columns) for d in tmp_path.iterdir() if any(d.iterdir())]
+    assert len(columns) == 3 and not any(c in ({"entity_id", "channel", "key"}, {"entity_id", "ids", "size"}) for c in columns)
+
+
 @pytest.mark.parametrize("frequent", [SR.FREQUENT, 2])
 def test_blocks_give_scores_contexts_and_channels_as_pairs_do(spark, frequent, monkeypatch):
     """All pairs without a row of a join, the phonetic channel of a query with few candidates included."""
