@@ -4,6 +4,7 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,23 @@ def test_set_similarities_of_nothing_are_zero(spark):
 def test_ngrams_sampled_evenly(spark):
     each(spark, lambda c: T.name_ngrams(T.name_variants(c), 3), [("abcdefghij", ["abc", "def", "hij"]), ("ab", ["ab"])])
     each(spark, lambda c: F.size(T.name_ngrams(T.name_variants(c), 0)), [("abcdefghij", 8)])
+
+
+def test_addresses_of_a_batch_are_compared_together(monkeypatch):
+    """The same ratios as one by one, for texts around 64 characters and any script, and without a search for each pair."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc de 12é漢😀") for _ in range(rng.choice([0, 1, 5, 40, 63, 64]))) for _ in range(400)]
+    longer = ["".join(rng.choice("abc 12") for _ in range(rng.choice([60, 65, 66, 130]))) for _ in range(100)]
+    pairs = [(a, rng.choice(texts)) for a in texts] + [(a, rng.choice((a, *longer, *texts))) for a in longer]
+    a, b = zip(*pairs, strict=True)
+    one_by_one = [S.indel_ratio(x, y) for x, y in pairs]
+    for masks in (S.MASKS, 50):
+        monkeypatch.setattr(S, "MASKS", masks)
+        assert S.indel_ratios(a, b) == one_by_one
+    calls = []
+    monkeypatch.setattr(S, "indel_ratio", lambda *pair: calls.append(pair))
+    names = pa.array([["same name"]] * 400)
+    monkeypatch.setattr(S, "_name_edits", lambda va, vb: (0.0,) * 7)
+    (found,) = S._edits(iter([(names, names, pa.array(a[:400]), pa.array(b[:400]))]))
+    assert found.field("address_char").to_pylist() == one_by_one[:400] and not calls
+    assert S.gram_similarities("ab", "ab") == (1.0, 1.0) and S.gram_similarities("", "ab") == (0.0, 0.0) and S.gram_similarities("a bcd", "abce")[0] == 1 / 3
