@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.functions.constants import MARGINS
+from affinis import catalogue
+from affinis.functions.constants import MARGINS, PAIR_FEATURES
 from affinis.operators import metrics as M
 from affinis.operators import sampling as N
 from affinis.operators import thresholds as TH
 from affinis.operators import validate as V
 from affinis.plans import models as ML
+from affinis.sources.staging import staged
 
 SCORED = "entity_id string, candidate_id string, label int, probability double"
 
@@ -135,6 +137,23 @@ def test_calibration_takes_every_row_of_a_large_class(spark):
     assert ML.fit_platt(rows.filter("label = 1")).slope is None
 
 
+def _training(spark):
+    values = [(F.pmod(F.xxhash64(F.lit(f), "id"), F.lit(7)) / 6.0).alias(f) for f in PAIR_FEATURES]
+    ids = F.concat(F.lit("S1-"), (F.col("id") % 20).cast("string")).alias("entity_id"), F.concat(F.lit("S2-"), F.col("id").cast("string")).alias("candidate_id")
+    return staged(spark.range(300).select(*ids, (F.col("id") % 3 == 0).cast("int").alias("label"), *values))
+
+
+def test_scores_of_several_models_need_no_join(spark, monkeypatch):
+    rows = _training(spark)
+    monkeypatch.setattr(catalogue, "training", lambda *_: rows)
+    fits = {kind: ML.LogisticModel(PAIR_FEATURES[i : i + 1], (1.0,), 0.0) for i, kind in enumerate(("logistic", "logistic_source_specific", "boosted"))}
+    monkeypatch.setattr(ML, "fit", lambda _, kind: fits[kind])
+    found = catalogue.pair_model_scores(spark, "")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = rows.select("entity_id", "candidate_id", "label", *[F.round(1 / (1 + F.exp(-F.col(PAIR_FEATURES[i]))), 9).alias(k) for i, k in enumerate(fits)])
+    assert found.columns == want.columns and found.count() == 300 and found.exceptAll(want).isEmpty()
+
+
 def test_the_sample_of_some_folds_is_that_part_of_the_whole_sample(spark):
     names = ["name_char_similarity", "name_token_jaccard", "name_tfidf_cosine", "address_token_jaccard", "address_tfidf_cosine", "city_token_jaccard", "postal_code_match", "same_country", "name_core_exact", "address_exact"]
     pairs = spark.range(600).select(F.concat(F.lit("S1-"), (F.col("id") % 20).cast("string")).alias("entity_id"), F.concat(F.lit("S2-"), F.col("id").cast("string")).alias("candidate_id"), *[(F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(7)) / 6.0).alias(n) for n in names])
