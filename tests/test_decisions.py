@@ -1,6 +1,7 @@
 """Thresholds against brute force, sampling contracts, validation."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -154,6 +155,19 @@ def test_scores_of_several_models_need_no_join(spark, monkeypatch):
     assert found.columns == want.columns and found.count() == 300 and found.exceptAll(want).isEmpty()
 
 
+def test_only_scores_are_moved_to_rerank(spark, monkeypatch):
+    rows = _training(spark)
+    monkeypatch.setattr(catalogue, "training", lambda *_: rows)
+    first, second = (ML.LogisticModel(PAIR_FEATURES[i : i + 1], (1.0,), 0.0) for i in (0, 1))
+    monkeypatch.setattr(ML, "fit", lambda *_: first)
+    monkeypatch.setattr(ML, "fit_reranker", lambda _: second)
+    found = catalogue.mlp_rerank(spark, "")
+    moved = re.findall(r"\) Exchange\s+Input \[(\d+)\]", found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+    assert moved and max(map(int, moved)) <= 5
+    want = second.transform(ML.top_scored(first.transform(rows), 5)).select("entity_id", "candidate_id", "label", "probability")
+    assert found.count() == want.count() == 100 and found.exceptAll(want).isEmpty()
+
+
 def test_the_sample_of_some_folds_is_that_part_of_the_whole_sample(spark):
     names = ["name_char_similarity", "name_token_jaccard", "name_tfidf_cosine", "address_token_jaccard", "address_tfidf_cosine", "city_token_jaccard", "postal_code_match", "same_country", "name_core_exact", "address_exact"]
     pairs = spark.range(600).select(F.concat(F.lit("S1-"), (F.col("id") % 20).cast("string")).alias("entity_id"), F.concat(F.lit("S2-"), F.col("id").cast("string")).alias("candidate_id"), *[(F.pmod(F.xxhash64(F.lit(n), "id"), F.lit(7)) / 6.0).alias(n) for n in names])
