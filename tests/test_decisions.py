@@ -1,7 +1,9 @@
 """Thresholds against brute force, sampling contracts, validation."""
 
+import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -51,6 +53,27 @@ def test_sweep_equals_brute_force(spark, seed):
     assert truthless == pytest.approx(score, abs=1e-8) and kept.count() <= len(rows)
 
 
+def test_the_best_point_is_found_without_all_points_in_the_driver(spark):
+    """300,000 points of six margins would take over 60 MB, and come in pieces; in what order partitions have them doesn't matter."""
+    margin = F.element_at(F.array(*[F.lit(m).cast("double") for m in MARGINS]), (F.col("id") % 6 + 1).cast("int"))
+    boundary = F.when(F.col("id") >= 6, F.floor(F.col("id") / 6) / 50_000)
+    score = F.round(0.9 - F.abs(F.floor(F.col("id") / 6) - 11_000) / 1e6 - (F.col("id") % 6 - 2) ** 2 / 1e3, 9)
+    points = staged(spark.range(300_000).select(margin.alias("margin"), boundary.alias("boundary"), score.alias("score")).repartition(8))
+    tracemalloc.start()
+    try:
+        found, step = TH.choose(points), TH.choose_step(points.filter("margin = 0.2"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    best = (-1, -math.inf, -1.0)
+    for r in sorted(points.collect(), key=lambda r: (MARGINS.index(r.margin), -math.inf if r.boundary is None else r.boundary)):
+        m, at, close = MARGINS.index(r.margin), -math.inf if r.boundary is None else r.boundary, abs(r.score - best[2]) <= 1e-8 + 1e-5 * abs(best[2])
+        if (r.score > best[2] and not close) or (close and at > best[1]):
+            best = (m, at, r.score)
+    assert found == (best[1], MARGINS[best[0]], best[2]) and step[0] is not None
+
+
 def test_f05_of_nothing_is_one(spark):
     e = spark.createDataFrame([("a",), ("b",)], "entity_id string")
     none = spark.createDataFrame([], "entity_id string, candidate_id string")
