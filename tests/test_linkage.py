@@ -209,6 +209,16 @@ def test_blocks_round_as_sql_does(spark):
         assert got.tolist() == [r[name] for r in rows] and not np.signbit(got[got == 0]).any()
 
 
+def test_ranges_may_be_more_than_blocks(spark, monkeypatch):
+    q = profiles(spark, *[(f"S1-{i}", f"Blue Harbor {i}", "4 Dock Road, 75001 Paris", "France") for i in range(9)])
+    t = profiles(spark, *[(f"S2-{i}", f"Blue Harbor {i}", "9 Dock Lane, 75001 Paris", "France") for i in range(9)])
+    want = staged(SR.by_blocks(q, t, B.DEFAULT, 0))
+    by_range = type(q).repartitionByRange
+    monkeypatch.setattr(type(q), "repartitionByRange", lambda rows, n, *by: by_range(rows, 50, *by))
+    got = staged(SR.by_blocks(q, t, B.DEFAULT, 0))
+    assert want.count() == got.count() == 81 and want.exceptAll(got).isEmpty()
+
+
 def test_blocks_keep_no_keys_on_disk(spark, sf, tmp_path, monkeypatch):
     """What only leads to the postings lists and blocks is deleted when these are written."""
     queries, targets = catalogue.sides(spark, sf)
