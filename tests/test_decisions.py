@@ -181,7 +181,7 @@ def test_scores_of_several_models_need_no_join(spark, monkeypatch):
 def test_only_scores_are_moved_to_rerank(spark, monkeypatch):
     rows = _training(spark)
     monkeypatch.setattr(catalogue, "training", lambda *_: rows)
-    first, second = (ML.LogisticModel(PAIR_FEATURES[i : i + 1], (1.0,), 0.0) for i in (0, 1))
+    first, second = ML.LogisticModel(PAIR_FEATURES[:1], (1.0,), 0.0), ML.LogisticModel(PAIR_FEATURES, tuple(i % 3 - 1.0 for i in range(len(PAIR_FEATURES))), 0.0)
     monkeypatch.setattr(ML, "fit", lambda *_: first)
     monkeypatch.setattr(ML, "fit_reranker", lambda _: second)
     found = catalogue.mlp_rerank(spark, "")
